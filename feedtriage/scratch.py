@@ -9,7 +9,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 
 def checkpoint_root(spark: SparkSession) -> str:
@@ -30,12 +30,23 @@ class Scratch:
         self.root = f"{checkpoint_root(spark)}/feedtriage-{label}-{uuid.uuid4().hex}"
         self._n = 0
 
-    def save(self, df: DataFrame, name: str) -> DataFrame:
+    def save(self, df: DataFrame, name: str, **metrics: Column) -> DataFrame:
+        """Write and read back. ``n_rows`` and ``metrics`` (aggregates over the
+        written rows) are gathered by the write itself, without another job.
+
+        A task that runs again may count twice, so callers use these numbers as
+        sizes or as zero/non-zero only.
+        """
         self._n += 1
         path = f"{self.root}/{self._n:04d}-{name}"
-        df.write.parquet(path)
+        seen = Observation(f"{name}-{self._n}")
+        exprs = [F.count(F.lit(1)).alias("n_rows")]
+        exprs += [expr.alias(key) for key, expr in metrics.items()]
+        df.observe(seen, *exprs).write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
+        out.metrics = seen.get
+        out.n_rows = out.metrics["n_rows"]
         return out
 
     def drop(self, df: DataFrame | None) -> None:
