@@ -36,6 +36,7 @@ class JobConfig:
     since_hours: int = 24
     categories: list[str] = field(default_factory=lambda: ["vulnerability", "red_team"])
     prefilter: dict[str, list[str]] = field(default_factory=dict)
+    classifier_terms: dict[str, list[str]] = field(default_factory=dict)
     min_relevance: int = 1
     semantic_dedup: bool = True
     dedup_window_days: int = 45

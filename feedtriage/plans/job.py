@@ -48,9 +48,10 @@ class RunResult:
     funnel: DataFrame
 
 
-def classify_articles(articles: DataFrame, models: Models) -> DataFrame:
+def classify_articles(articles: DataFrame, models: Models,
+                      terms: dict[str, list[str]]) -> DataFrame:
     if models.classify is None:
-        return classify.heuristic_classify(articles)
+        return classify.heuristic_classify(articles, **terms)
     asked = articles.withColumn("_prompt", model.article_prompt(F.col("title"), F.col("summary")))
     answered = model.with_model(asked, "_prompt", "_response", models.classify, models.batch_size)
     return classify.parse_classification(answered, "_response").drop("_prompt", "_response")
@@ -74,7 +75,7 @@ def run(spark: SparkSession, cfg: JobConfig, raw: DataFrame, run_ts: datetime,
     entries = scratch.save(entries, "entries")
     articles = entries.where("in_window")
     kept = filters.keyword_prefilter(articles, cfg.prefilter, sources_table(spark, cfg.sources))
-    classified = scratch.save(classify_articles(kept, models), "classified")
+    classified = scratch.save(classify_articles(kept, models, cfg.classifier_terms), "classified")
 
     interesting = filters.is_interesting(F.col("category"), cfg.categories)
     low = filters.low_relevance(F.col("relevance"), cfg.min_relevance)
@@ -82,7 +83,6 @@ def run(spark: SparkSession, cfg: JobConfig, raw: DataFrame, run_ts: datetime,
     order = [F.col(c) for c in ORDER_COLUMNS + ties]
     items = dense_index(classified.where(interesting & ~low).withColumn("urls", F.array("url")),
                         order, "seq", scratch)
-    items = scratch.save(items, "items")
 
     pairs = models.similar(items, seen) if models.similar and cfg.semantic_dedup else None
     decisions = dedup.greedy_dedup(
