@@ -238,15 +238,15 @@ def match_response_parse(spark, d):
     return classify.parse_match(rows).select("event_id", "match_id")
 
 
-def _shout():
-    return lambda prompts: [p.upper() for p in prompts]
+def _echo():
+    return lambda prompts: [f"re: {p}" for p in prompts]
 
 
 def model_answers(spark, d):
     """The model surface with a stand-in function."""
     rows = T.table(spark, d, "conversations").withColumn(
         "prompt", model.article_prompt(F.col("role"), F.col("text")))
-    return model.with_model(rows, "prompt", "answer", _shout, 64).select("conv_id", "turn", "answer")
+    return model.with_model(rows, "prompt", "answer", _echo, 64).select("conv_id", "turn", "answer")
 
 
 def _cve_links(spark, d):

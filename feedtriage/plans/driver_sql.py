@@ -342,7 +342,7 @@ ORACLES = {
     "match_response_parse": """SELECT event_id,
         CASE WHEN event_type IN ('click', 'view') THEN user_id END AS match_id FROM events""",
     "model_answers": """SELECT conv_id, turn,
-        upper('Title: ' || role || chr(10) || chr(10) || 'Summary: ' || text) AS answer
+        're: Title: ' || role || chr(10) || chr(10) || 'Summary: ' || text AS answer
         FROM conversations""",
     "match_prompts": _WITH(_ITEMS, _SEEN, """links AS (SELECT DISTINCT i.seq, s.id FROM
           (SELECT seq, upper(unnest(cve_ids)) AS c FROM items) i
