@@ -11,13 +11,15 @@ from pyspark.sql import Column, functions as F, types as T
 CVE_PATTERN = r"(?i)CVE-\p{Nd}{4}-\p{Nd}{4,}"
 TAG_PATTERN = r"<[^>]+>"
 
-# Unicode white space, plus the separators 0x1C-0x1F which count as space too.
-_SPACE = r"[\s\x1c-\x1f]"
+# The characters that count as white space, alone and as a class.
+SPACE_CHARS = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\u00a0\u1680\u2000\u2001\u2002\u2003\u2004"
+               "\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
+SPACE_RUN = (r"[\t-\r\x1c-\x20\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 
 
 def strip(c: Column) -> Column:
-    """Remove white space (any Unicode kind) from both ends."""
-    return F.regexp_replace(c, rf"(?U)^{_SPACE}+|{_SPACE}+$", "")
+    """Remove white space (any Unicode kind) from both ends; looks at the ends only."""
+    return F.btrim(c, F.lit(SPACE_CHARS))
 
 
 def or_empty(c: Column) -> Column:
@@ -36,7 +38,7 @@ def first_non_empty(*cols: Column) -> Column:
 def clean_html(c: Column) -> Column:
     """Tags to spaces, white space runs to one space, stripped; null to ''."""
     no_tags = F.regexp_replace(or_empty(c), TAG_PATTERN, " ")
-    return F.trim(F.regexp_replace(no_tags, rf"(?U){_SPACE}+", " "))
+    return F.trim(F.regexp_replace(no_tags, SPACE_RUN, " "))
 
 
 def article_text(title: Column, summary: Column) -> Column:
