@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 
 import pandas as pd
@@ -98,6 +99,16 @@ def any_term(text: Column, terms: Iterable[str]) -> Column:
     return out
 
 
+def matches_any(text: Column, terms: Iterable[str]) -> Column:
+    """The same test as one pattern, which evaluates ``text`` once per row.
+
+    Use it in filters: a predicate that names ``text`` once per term would
+    compute it again for each of them.
+    """
+    quoted = [re.sub(r"([^\w\s])", r"\\\1", term, flags=re.ASCII) for term in terms]
+    return F.rlike(text, F.lit("|".join(quoted))) if quoted else F.lit(False)
+
+
 def next_page_link(header: Column) -> Column:
     """Target of rel="next" in a Link header, or null."""
     return F.nullif(F.regexp_extract(header, r'<([^>]+)>;\s*rel="next"', 1), F.lit(""))

@@ -67,7 +67,7 @@ def prefilter_terms(groups: dict[str, list[str]] | list[str]) -> list[str]:
 def passes_prefilter(text: Column, groups: dict[str, list[str]] | list[str]) -> Column:
     """Any term of any group is a substring of the text; no terms keeps all."""
     terms = prefilter_terms(groups)
-    return X.any_term(F.lower(text), terms) if terms else F.lit(True)
+    return X.matches_any(F.lower(text), terms) if terms else F.lit(True)
 
 
 def with_bypass(df: DataFrame, sources: DataFrame, out: str = "bypass") -> DataFrame:

@@ -190,9 +190,6 @@ def _messages(source: str) -> str:
 FROM {source}"""
 
 
-_SCORED = f"""low AS (SELECT *, lower({_strip("title || chr(10) || chr(10) || summary")}) AS t FROM {{}})"""
-
-
 def _classified(source: str, cves: str) -> str:
     """CTEs with the keyword classification of a table of articles."""
     return f"""low AS (SELECT *, lower({_strip("title || chr(10) || chr(10) || summary")}) AS t,

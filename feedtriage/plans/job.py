@@ -33,7 +33,10 @@ class Models:
 
 @dataclass
 class RunResult:
-    """Tables of one run. Nothing is persisted before ``commit``."""
+    """Tables of one run. Nothing is persisted before ``commit``.
+
+    The tables read ``scratch``; clear it when they are no longer needed.
+    """
 
     config: JobConfig
     run_ts: datetime
@@ -46,6 +49,7 @@ class RunResult:
     backfills: DataFrame
     report: DataFrame
     funnel: DataFrame
+    scratch: Scratch
 
 
 def classify_articles(articles: DataFrame, models: Models,
@@ -106,7 +110,7 @@ def run(spark: SparkSession, cfg: JobConfig, raw: DataFrame, run_ts: datetime,
         records=store.new_records(new_items, store.next_record_id(seen), run_ts, scratch),
         backfills=store.backfill_rows(decisions, items),
         report=report.report_rows(new_items, run_ts.date(), cfg.report_name, scratch),
-        funnel=funnel.funnel(rows))
+        funnel=funnel.funnel(rows), scratch=scratch)
 
 
 def outbox_rows(result: RunResult) -> DataFrame:

@@ -52,8 +52,14 @@ class Scratch:
     def drop(self, df: DataFrame | None) -> None:
         """Delete a table that no later plan reads."""
         path = getattr(df, "_scratch_path", None)
-        if path is None or not path.startswith(self.root + "/"):
-            return
+        if path is not None and path.startswith(self.root + "/"):
+            self._delete(path)
+
+    def clear(self) -> None:
+        """Delete all tables of the job, once its results are written elsewhere."""
+        self._delete(self.root)
+
+    def _delete(self, path: str) -> None:
         jvm_path = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         fs = jvm_path.getFileSystem(self.spark._jsc.hadoopConfiguration())
         fs.delete(jvm_path, True)

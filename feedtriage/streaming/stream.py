@@ -31,9 +31,13 @@ def run_stream(spark: SparkSession, cfg: JobConfig, raw_stream: DataFrame, check
         name = f"{batch_id:012d}"
         if store.is_committed(spark, cfg.store_path, name):
             return
-        raw = Scratch(spark, "batch").save(batch, "raw")
+        landed = Scratch(spark, "batch")
+        raw = landed.save(batch, "raw")
         if raw.n_rows:
-            commit(spark, run(spark, cfg, raw, now(), models=models), name)
+            result = run(spark, cfg, raw, now(), models=models)
+            commit(spark, result, name)
+            result.scratch.clear()
+        landed.clear()
 
     return (raw_stream.writeStream.foreachBatch(process)
             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())

@@ -1,13 +1,12 @@
-import os
-
 import pytest
 from pyspark.sql import SparkSession
 
 
 @pytest.fixture(scope="session")
-def spark(tmp_path_factory):
+def spark():
     builder = (SparkSession.builder.master("local[8]").appName("feedtriage-tests")
                .config("spark.ui.enabled", "false")
+               .config("spark.ui.showConsoleProgress", "false")
                .config("spark.sql.session.timeZone", "UTC")
                .config("spark.driver.memory", "8g")
                .config("spark.sql.shuffle.partitions", "4"))

@@ -62,3 +62,11 @@ def test_dates(spark):
     df = spark.sql("select timestamp'2026-07-07 13:01:01' a, timestamp'2026-07-07 13:01:01.5' b")
     assert list(df.select(D.rfc3339(F.col("a")), D.rfc3339(F.col("b"))).first()) == [
         "2026-07-07T13:01:01+00:00", "2026-07-07T13:01:01.500000+00:00"]
+
+
+def test_matches_any_is_literal(spark):
+    terms = ["c++", "a.b", "[x]", "0-day", "two words", "ünï", "back\\slash", "(|)"]
+    texts = terms + ["cxx", "axb", "x", "0day", "twowords", "uni", "backslash", ""]
+    got = values(spark, lambda c: X.matches_any(c, terms), *texts)
+    assert got == [True] * len(terms) + [False] * 8
+    assert got == values(spark, lambda c: X.any_term(c, terms), *texts)
