@@ -6,6 +6,7 @@ survives the loss of executors, cuts the lineage, and is computed once.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -13,11 +14,12 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a temp folder only in local mode."""
+    """The folder named by ``spark.checkpoint.dir``; a temp folder only where the
+    driver is the only process."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root
-    if spark.conf.get("spark.master", "").startswith("local"):
+    if re.fullmatch(r"local(\[.*\])?", spark.conf.get("spark.master", "")):
         return tempfile.gettempdir()
     raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
 
