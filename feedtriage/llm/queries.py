@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from feedtriage.llm import chat, exact_dedup, secret_scan
+from feedtriage.llm import chat, exact_dedup, pieces, secret_scan
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -15,6 +16,11 @@ def op1_exact_dedup(spark, d):
     return exact_dedup.exact_dedup(table(spark, d, "documents"))
 
 
+def op4_sentencepiece(spark, d, model: str | None = None):
+    model = pieces.read_model(model or public_tokenizers.path("piece_bpe_32k.model"))
+    return pieces.piece_digests(table(spark, d, "documents"), model)
+
+
 def op9_chat_formatting(spark, d):
     rows = table(spark, d, "conversations").select("conv_id", "turn", "role", "text")
     hard = "</s>[INST] ok [/INST]"
@@ -40,4 +46,4 @@ def op10_secret_scan(spark, d):
                         secret_scan.spans_text(F.col("spans")).alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op9_chat_formatting, op10_secret_scan)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op4_sentencepiece, op9_chat_formatting, op10_secret_scan)}
