@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from feedtriage.llm import chat, exact_dedup, pieces, secret_scan
+from feedtriage.llm import chat, exact_dedup, ngram_join, pieces, secret_scan
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -16,6 +16,11 @@ def op1_exact_dedup(spark, d):
     return exact_dedup.exact_dedup(table(spark, d, "documents"))
 
 
+def op3_ngram_join(spark, d):
+    found = ngram_join.ngram_components(table(spark, d, "documents"), n=3, num=90, den=100)
+    return found.select("doc_id", "n_shingles", "component_id")
+
+
 def op4_sentencepiece(spark, d, model: str | None = None):
     model = pieces.read_model(model or public_tokenizers.path("piece_bpe_32k.model"))
     return pieces.piece_digests(table(spark, d, "documents"), model)
@@ -46,4 +51,4 @@ def op10_secret_scan(spark, d):
                         secret_scan.spans_text(F.col("spans")).alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op4_sentencepiece, op9_chat_formatting, op10_secret_scan)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_ngram_join, op4_sentencepiece, op9_chat_formatting, op10_secret_scan)}
