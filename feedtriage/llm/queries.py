@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from feedtriage.llm import chat, exact_dedup, ngram_join, pieces, quality, secret_scan
+from feedtriage.llm import chat, exact_dedup, ngram_join, pieces, quality, secret_scan, toxicity
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -30,6 +30,10 @@ def op6_quality(spark, d):
     return quality.classify_quality(table(spark, d, "documents"), table(spark, d, "labels"))
 
 
+def op7_toxicity(spark, d):
+    return toxicity.classify_toxicity(table(spark, d, "documents"), table(spark, d, "labels"))
+
+
 def op9_chat_formatting(spark, d):
     rows = table(spark, d, "conversations").select("conv_id", "turn", "role", "text")
     hard = "</s>[INST] ok [/INST]"
@@ -55,4 +59,4 @@ def op10_secret_scan(spark, d):
                         secret_scan.spans_text(F.col("spans")).alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_ngram_join, op4_sentencepiece, op6_quality, op9_chat_formatting, op10_secret_scan)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_ngram_join, op4_sentencepiece, op6_quality, op7_toxicity, op9_chat_formatting, op10_secret_scan)}
