@@ -19,6 +19,7 @@ Nothing is linked, dropped or cut short by a group's size.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 from functools import reduce
 
@@ -44,14 +45,24 @@ class Parts:
     """Part keys of sets for the similarity num / den."""
 
     def __init__(self, num: int, den: int, frequent: np.ndarray):
-        self.num, self.den, self.frequent = num, den, np.sort(frequent)
+        self.num, self.den = num, den
+        self.frequent = np.sort(frequent) if len(frequent) else np.zeros(1, np.uint64)  # 0 stands for none
+        self.ranges: dict[int, np.ndarray] = {}
+        self.highs = [den // num]
         self.classes = [(1, den // num)]  # sizes of each class, smallest and largest
 
     def _class_of(self, size: int) -> int:
         while self.classes[-1][1] < size:
             low = self.classes[-1][1] + 1
             self.classes.append((low, low * self.den // self.num))
-        return int(np.searchsorted([high for _, high in self.classes], size))
+            self.highs.append(self.classes[-1][1])
+        return bisect.bisect_left(self.highs, size)
+
+    def _ranges(self, n: int) -> np.ndarray:
+        """Where n equal ranges of hashes begin."""
+        if n not in self.ranges:
+            self.ranges[n] = np.array([(k << 64) // n for k in range(n)], np.uint64)
+        return self.ranges[n]
 
     def keys(self, members: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Keys of strong ranges, and of weak ones where they are needed. A strong key holds
@@ -60,7 +71,8 @@ class Parts:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         own = self._class_of(len(members))
         self._class_of(self.classes[own][1] + 1)
-        rare = ~np.isin(members, self.frequent)
+        place = np.searchsorted(self.frequent, members)
+        rare = self.frequent[np.minimum(place, len(self.frequent) - 1)] != members
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(members ^ np.uint64(0xA5A5A5A5A5A5A5A5)))])
         rares = np.concatenate([[0], np.cumsum(rare)])
         strong, hot = [], []
@@ -71,8 +83,7 @@ class Parts:
                 continue  # sets of this class that link are equal
             spare = min(6, differ)
             n = differ + 1 + spare
-            edges = np.searchsorted(members, ((np.arange(n + 1, dtype=object) << 64) // n)[:-1].astype(np.uint64))
-            edges = np.append(edges, len(members))
+            edges = np.append(np.searchsorted(members, self._ranges(n)), len(members))
             part = sums[edges[1:]] - sums[edges[:-1]]
             weak = rares[edges[1:]] == rares[edges[:-1]]
             key = mix(part + mix(np.arange(n, dtype=np.uint64) + np.uint64(c << 32)))
