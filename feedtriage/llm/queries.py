@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from feedtriage.llm import chat, exact_dedup, ngram_join, pieces, quality, secret_scan, toxicity
+from feedtriage.llm import chat, embed_dedup, exact_dedup, ngram_join, pieces, quality, secret_scan, toxicity
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -26,6 +26,10 @@ def op4_sentencepiece(spark, d, model: str | None = None):
     return pieces.piece_digests(table(spark, d, "documents"), model)
 
 
+def op5_embedding_dedup(spark, d):
+    return embed_dedup.near_vectors(table(spark, d, "embeddings"))
+
+
 def op6_quality(spark, d):
     return quality.classify_quality(table(spark, d, "documents"), table(spark, d, "labels"))
 
@@ -59,4 +63,4 @@ def op10_secret_scan(spark, d):
                         secret_scan.spans_text(F.col("spans")).alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_ngram_join, op4_sentencepiece, op6_quality, op7_toxicity, op9_chat_formatting, op10_secret_scan)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_ngram_join, op4_sentencepiece, op5_embedding_dedup, op6_quality, op7_toxicity, op9_chat_formatting, op10_secret_scan)}
