@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from feedtriage.llm import chat, embed_dedup, exact_dedup, ngram_join, pieces, quality, secret_scan, toxicity
+from feedtriage.llm import chat, embed_dedup, exact_dedup, line_dedup, mixing, ngram_join, pieces, quality, secret_scan, toxicity
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -16,6 +16,16 @@ def op1_exact_dedup(spark, d):
     return exact_dedup.exact_dedup(table(spark, d, "documents"))
 
 
+#: Equal parts of the twenty sources, mostly English, mostly prose; half of all tokens.
+MIX = mixing.Targets(
+    source={f"src{i}": 0.05 for i in range(20)}, lang={"en": 0.5, "fr": 0.2, "de": 0.2, "es": 0.1},
+    topic={"prose": 0.5, "long": 0.2, "brief": 0.1, "legal": 0.1, "table": 0.1}, rate=0.5)
+
+
+def op2_mixing(spark, d):
+    return mixing.mix(table(spark, d, "documents"), MIX)
+
+
 def op3_ngram_join(spark, d):
     found = ngram_join.ngram_components(table(spark, d, "documents"), n=3, num=90, den=100)
     return found.select("doc_id", "n_shingles", "component_id")
@@ -38,6 +48,13 @@ def op7_toxicity(spark, d):
     return toxicity.classify_toxicity(table(spark, d, "documents"), table(spark, d, "labels"))
 
 
+def op8_line_dedup(spark, d):
+    out = line_dedup.dedup_lines(table(spark, d, "documents"))
+    text = F.coalesce("text", F.lit(""))
+    return out.select("doc_id", (F.size(F.split(text, "\n", -1)) * (text != "").cast("int")).cast("long").alias("n_lines"),
+                      "lines_removed", F.length(text).cast("long").alias("n_chars"), F.sha2(text, 256).alias("text_sha256"))
+
+
 def op9_chat_formatting(spark, d):
     rows = table(spark, d, "conversations").select("conv_id", "turn", "role", "text")
     hard = "</s>[INST] ok [/INST]"
@@ -63,4 +80,4 @@ def op10_secret_scan(spark, d):
                         secret_scan.spans_text(F.col("spans")).alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_ngram_join, op4_sentencepiece, op5_embedding_dedup, op6_quality, op7_toxicity, op9_chat_formatting, op10_secret_scan)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_mixing, op3_ngram_join, op4_sentencepiece, op5_embedding_dedup, op6_quality, op7_toxicity, op8_line_dedup, op9_chat_formatting, op10_secret_scan)}
