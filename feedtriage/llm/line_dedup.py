@@ -120,10 +120,14 @@ def _near_lines(docs: DataFrame, scratch: Scratch) -> DataFrame:
     return connected_components(links, scratch)
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
+def dedup_lines(docs: DataFrame, most: float = 1.0) -> DataFrame:
     """``docs`` with repeated lines taken out of text, in all its columns, and with
     lines_removed (long) beside them.
 
+    A document that would lose more than the share ``most`` of its characters is a copy
+    rather than a text with repeated lines, and is left whole for a step that removes
+    documents; with 1.0 no document is spared.
+
     Lines end at a line feed and are compared whole. A null text stays null. Rows
     without doc_id stay as they are. Rows of one id count as one document. A text whose lines all go
     becomes empty. An empty table gives an empty result.
@@ -144,10 +148,10 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     # In its home a class stays once, elsewhere not at all: null stands for that.
     entry = F.struct("h1", F.when(F.col("home") == F.col("doc_id"), F.col("line_class")).alias("line_class"))
     wanted = hits.groupBy("doc_id").agg(F.collect_list(entry).alias("lines"))
-    return _rebuilt(docs, wanted)
+    return _rebuilt(docs, wanted, most)
 
 
-def _rebuilt(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+def _rebuilt(docs: DataFrame, wanted: DataFrame, most: float) -> DataFrame:
     fields = [f"`{c}`" for c in docs.columns]
     rows = docs.select(F.struct(*fields).alias("row"), F.col("doc_id").cast("long").alias("id"))
     rows = rows.join(wanted.withColumnRenamed("doc_id", "id"), "id", "left").select("row", "lines")
@@ -167,6 +171,8 @@ def _rebuilt(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                             continue
                         seen.add(known[h])
                     kept.append(line)
+                if sum(map(len, parts)) - sum(map(len, kept)) > most * len(text or ""):
+                    kept = parts
                 texts.append(None if text is None else "\n".join(kept))
                 counts.append(len(parts) - len(kept))
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(texts, pa.string()), pa.array(counts, pa.int64())],
