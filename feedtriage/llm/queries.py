@@ -23,7 +23,8 @@ MIX = mixing.Targets(
 
 
 def op2_mixing(spark, d):
-    return mixing.mix(table(spark, d, "documents"), MIX)
+    mixed = mixing.mix(table(spark, d, "documents"), MIX)
+    return mixed.withColumn("probability", F.round("probability", 6))
 
 
 def op3_ngram_join(spark, d):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from feedtriage.llm.queries import MIX
+
 OP1 = r"""
 WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS body
            FROM documents)
@@ -32,4 +34,128 @@ SELECT conv_id, count(*) AS n_turns,
 FROM o GROUP BY conv_id
 """
 
-ORACLES = {"op1_exact_dedup": OP1, "op9_chat_formatting": OP9}
+
+OP2 = r"""
+WITH RECURSIVE goals(facet, value, weight) AS (VALUES
+  {goals}),
+rows AS (
+  SELECT doc_id, tokens, CASE WHEN source IN ({source}) THEN source ELSE '(other)' END AS source,
+         CASE WHEN lang IN ({lang}) THEN lang ELSE '(other)' END AS lang,
+         CASE WHEN contains(text, 'License') THEN 'legal' WHEN contains(text, ' | ') THEN 'table'
+              WHEN tokens < 100 THEN 'brief' WHEN tokens > 1000 THEN 'long' ELSE 'prose' END AS topic
+  FROM (SELECT doc_id, source, lang, coalesce(text, '') AS text,
+               len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS tokens FROM documents)),
+cells AS (SELECT source, lang, topic, CAST(sum(tokens) AS DOUBLE) AS have FROM rows GROUP BY ALL),
+margins AS (
+  SELECT facet, value, sum(have) AS have FROM (
+    SELECT unnest(['source', 'lang', 'topic']) AS facet, unnest([source, lang, topic]) AS value, have FROM cells)
+  GROUP BY ALL),
+wanted AS (
+  SELECT facet, value, have, CASE WHEN have > 0 THEN coalesce(weight, 0) ELSE 0 END AS weight,
+         sum(have) OVER (PARTITION BY facet) AS total,
+         coalesce(sum(have) FILTER (value = '(other)') OVER (PARTITION BY facet), 0) AS other
+  FROM margins LEFT JOIN goals USING (facet, value)),
+shares AS (
+  SELECT facet, value, total * {rate} * CASE WHEN value = '(other)' THEN have / total
+         ELSE weight * (1 - other / total) / sum(weight) OVER (PARTITION BY facet) END AS goal FROM wanted),
+raked(step, source, lang, topic, have, drawn, s, l, t) AS (
+  SELECT 0, source, lang, topic, have, have * {rate}, s.goal, l.goal, t.goal FROM cells
+  JOIN shares s ON s.facet = 'source' AND s.value = source JOIN shares l ON l.facet = 'lang' AND l.value = lang
+  JOIN shares t ON t.facet = 'topic' AND t.value = topic
+  UNION ALL
+  SELECT step + 1, source, lang, topic, have, CASE step % 3
+    WHEN 0 THEN drawn * s / nullif(sum(drawn) OVER (PARTITION BY source), 0)
+    WHEN 1 THEN drawn * l / nullif(sum(drawn) OVER (PARTITION BY lang), 0)
+    ELSE least(have, drawn * t / nullif(sum(drawn) OVER (PARTITION BY topic), 0)) END, s, l, t
+  FROM raked WHERE step < 180),
+final AS (SELECT source, lang, topic, CASE WHEN have > 0 THEN coalesce(drawn, 0) / have ELSE 0 END AS p FROM raked WHERE step = 180)
+SELECT doc_id, source, lang, topic, tokens, round(p, 6) AS probability,
+       CAST('0x' || substr(md5('mix:' || doc_id), 1, 12) AS BIGINT) / 281474976710656.0 < p AS selected
+FROM rows JOIN final USING (source, lang, topic)
+"""
+
+OP3 = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x20\x09-\x0D]+') AS ws FROM documents),
+g AS (SELECT DISTINCT doc_id, unnest(
+        CASE WHEN len(ws) >= 3 THEN list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])
+             WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS gram FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM g a JOIN g b USING (gram) JOIN n x ON x.doc_id = a.doc_id JOIN n y ON y.doc_id = b.doc_id
+  WHERE a.doc_id <> b.doc_id AND 100 * least(x.n, y.n) >= 90 * greatest(x.n, y.n)
+  GROUP BY a.doc_id, b.doc_id, x.n, y.n HAVING 100 * count(*) >= 90 * (x.n + y.n - count(*))),
+reach(a, b) AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b)
+SELECT doc_id, coalesce(any_value(n.n), 0) AS n_shingles, least(doc_id, coalesce(min(r.b), doc_id)) AS component_id
+FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN reach r ON r.a = doc_id GROUP BY doc_id
+"""
+
+OP5 = r"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+          WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+n AS (SELECT a, count(*) AS n FROM links GROUP BY a),
+reach(a, b) AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b),
+c AS (SELECT a, min(b) AS b FROM reach GROUP BY a)
+SELECT vec_id, coalesce(n.n, 0) AS n_links, least(vec_id, coalesce(c.b, vec_id)) AS component_id,
+       least(vec_id, coalesce(c.b, vec_id)) = vec_id AS kept
+FROM embeddings LEFT JOIN n ON n.a = vec_id LEFT JOIN c ON c.a = vec_id
+"""
+
+_ASSIGN = (r"""(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]"""
+           r"""|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["\x27]?\x20*[:=]\x20*["\x27]?([A-Za-z0-9+/_.=-]+)""")
+
+
+def _found(kind: int, pattern: str, group: int, least: int) -> str:
+    """Matches of a pattern with their places, from the pieces between them."""
+    return f"""
+  SELECT doc_id, {kind} AS kind, t, start, start + len(hit) AS stop FROM (
+    SELECT doc_id, t, m.hit AS hit, m.value AS value,
+           sum(len(m.before) + len(m.hit)) OVER (PARTITION BY doc_id ORDER BY m.k) - len(m.hit) AS start
+    FROM (SELECT doc_id, t, unnest(list_transform(range(1, len(hits) + 1), lambda k:
+            {{'k': k, 'hit': hits[k], 'value': vals[k], 'before': gaps[k]}})) AS m
+          FROM (SELECT doc_id, t, regexp_extract_all(t, '{pattern}', 0) AS hits, regexp_extract_all(t, '{pattern}', {group}) AS vals,
+                       string_split_regex(t, '{pattern}') AS gaps
+                FROM d WHERE regexp_matches(t, '{pattern}'))))
+  WHERE len(value) >= {least}"""
+
+
+OP10 = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+base AS (""" + "\nUNION ALL".join([_found(0, _ASSIGN, 1, 8), _found(1, "AKIA[A-Z0-9]+", 0, 16), _found(2, "[0-9a-f]{32,}", 0, 32)]) + r"""),
+runs AS (SELECT doc_id, start, stop, run FROM (
+    SELECT r.doc_id, r.start, r.stop, substr(r.t, CAST(r.start AS BIGINT) + 1, CAST(r.stop - r.start AS BIGINT)) AS run FROM (""" + _found(3, "[A-Za-z0-9+/_=-]{24,}", 0, 24) + r""") r
+    WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = r.doc_id AND b.start < r.stop AND r.start < b.stop))
+  WHERE NOT regexp_matches(run, '(?i)example|placeholder|changeme|your_|01234567|abcdefgh')
+    AND NOT regexp_matches(run, '(?i)[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}')
+    AND len(list_filter(range(1, len(run) - 6), lambda i: len(replace(lower(substr(run, i, 8)), lower(substr(run, i, 1)), '')) = 0)) = 0),
+classed AS (SELECT *, CASE WHEN regexp_full_match(run, '[0-9a-fA-F]+') THEN 2.9
+    WHEN regexp_matches(run, '[0-9]') AND regexp_matches(run, '[a-z]') AND regexp_matches(run, '[A-Z]') THEN 3.9
+    WHEN regexp_matches(run, '[0-9]') AND regexp_matches(run, '[a-zA-Z]') AND regexp_full_match(run, '[A-Za-z0-9]+') THEN 3.7 END AS bits
+  FROM runs),
+hits AS (SELECT doc_id, start, list_filter(range(1, len(run) - 22), lambda i: log2(24) - list_sum(list_transform(
+      list_distinct(string_split(substr(run, i, 24), '')), lambda c: (24 - len(replace(substr(run, i, 24), c, '')))
+        * log2(24 - len(replace(substr(run, i, 24), c, ''))))) / 24 >= bits) AS places FROM classed WHERE bits IS NOT NULL),
+found AS (SELECT doc_id, kind, start, stop FROM base
+  UNION ALL SELECT doc_id, 3, start + list_first(places) - 1, start + list_last(places) + 23 FROM hits WHERE len(places) > 0),
+named AS (SELECT *, ['assign', 'access', 'hex', 'entropy'][kind + 1] || ':' || CAST(start AS BIGINT) || ':' || CAST(stop AS BIGINT) AS span FROM found)
+SELECT d.doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
+       sha256(coalesce(string_agg(span, ',' ORDER BY start, kind) FILTER (kind < 3), '')) AS base_sha256,
+       coalesce(string_agg(span, ',' ORDER BY start, kind), '') AS spans
+FROM d LEFT JOIN named USING (doc_id) GROUP BY d.doc_id
+"""
+
+
+def _mixing_sql(targets) -> str:
+    goals = [(f, v, w) for f in ("source", "lang", "topic") for v, w in sorted(getattr(targets, f).items())]
+    names = {f: ", ".join(f"'{v}'" for v in sorted(getattr(targets, f))) for f in ("source", "lang")}
+    return (OP2.replace("{goals}", ",\n  ".join(f"('{f}', '{v}', {w})" for f, v, w in goals)).replace("{rate}", str(targets.rate))
+            .replace("{source}", names["source"]).replace("{lang}", names["lang"]))
+
+
+ORACLES = {"op1_exact_dedup": OP1, "op2_mixing": _mixing_sql(MIX), "op3_ngram_join": OP3, "op5_embedding_dedup": OP5,
+           "op9_chat_formatting": OP9, "op10_secret_scan": OP10}
