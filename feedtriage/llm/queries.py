@@ -75,8 +75,8 @@ def op9_chat_formatting(spark, d):
 def op10_secret_scan(spark, d):
     found = secret_scan.scan_secrets(table(spark, d, "documents"))
     base = F.filter("spans", lambda s: s["kind"] < 3)
-    count = [F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{name}")
-             for k, name in enumerate(secret_scan.KINDS[:3])]
+    of_kind = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long")
+    count = [of_kind(k).alias(f"n_{name}") for k, name in enumerate(secret_scan.KINDS[:3])]
     return found.select("doc_id", *count, F.sha2(secret_scan.spans_text(base), 256).alias("base_sha256"),
                         secret_scan.spans_text(F.col("spans")).alias("spans"))
 
