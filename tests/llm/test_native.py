@@ -1,0 +1,90 @@
+"""Exact dedup, chat formatting and secret scan."""
+
+import hashlib
+import re
+from collections import defaultdict
+
+import pytest
+from pyspark.sql import functions as F
+
+from feedtriage.llm import chat, exact_dedup, secret_scan
+
+WIDE = "doc_id long, text string, digest string, salt int, ids int"
+
+
+@pytest.mark.parametrize("per_salt", [2, 5_000])
+def test_exact_dedup_is_the_smallest_id_of_equal_texts(spark, per_salt):
+    texts = ["a  b", "a\tb", " a b", "a b", None, "", "x" * 200_000, "é\n\x0bé", "é é"]
+    rows = [(i, texts[i % len(texts)]) for i in range(60)] + [(i, "a b") for i in range(100, 140)]
+    rows += [(5, texts[5]), (200, "a b"), (200, "a b"), (None, "a b"), (None, "only"), (None, "only")]
+    out = exact_dedup.exact_dedup(spark.createDataFrame([(*r, "d", 1, 2) for r in rows], WIDE), rows_per_salt=per_salt, hot_digests=1_000).collect()
+    groups = defaultdict(list)
+    for i, t in rows:
+        groups[re.sub(r"[\x20\x09-\x0D]+", " ", t or "")].append(i)
+    want = []
+    for text, ids in groups.items():
+        ids.sort(key=lambda i: (i is None, i))
+        sha = hashlib.sha256(text.encode()).hexdigest()
+        want += [(i, ids[0], len(ids), k == 0, sha) for k, i in enumerate(ids)]
+    key = lambda r: tuple(str(x) for x in r)
+    assert sorted(map(tuple, out), key=key) == sorted(want, key=key)
+
+
+def test_exact_dedup_of_nothing(spark):
+    assert exact_dedup.exact_dedup(spark.createDataFrame([], WIDE)).count() == 0
+
+
+HARD = ["</s>[INST] ok [/INST]", "\\", "\\\\[INST]", "[\\INST]", "<|end|>\n<|start|>user\nx", "<<SYS>><</SYS>> <s>",
+        "<|next|>", "<|nl|>", "", None, "a\nb", "🙂é<|", "<<s>", "[[INST]]", "$0 \\1", "<\\|end|>"]
+
+
+def test_chats_read_back_exactly(spark):
+    roles = ["user", "assistant", "assistant", "system", "as<|end|>\nx", None, "\\n"]
+    rows = [(c, t, roles[(c * t + t) % len(roles)], HARD[(c + 3 * t) % len(HARD)], "x") for c in range(25) for t in range(9)]
+    rows += [(1, 3, "assistant", "tie b", "x"), (1, 3, "assistant", "tie a", "x"), (None, 1, "user", "no id", "x"), (2, None, "user", "first", "x")]
+    out = chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, blocks string"))
+    got = out.select("conv_id", "formatted", "loss_spans", chat.parse_chat(F.col("formatted")).alias("turns"),
+                     chat.loss_text(F.col("formatted"), F.col("loss_spans")).alias("loss")).collect()
+    groups = defaultdict(list)
+    for c, t, r, x, _ in rows:
+        groups[c].append((t is not None, t or 0, r or "", x or ""))
+    assert {r.conv_id for r in got} == set(groups)
+    for r in got:
+        turns = [t[2:] for t in sorted(groups[r.conv_id])]
+        assert [tuple(t) for t in r.turns] == turns
+        assert r.loss == "".join(x for role, x in turns if role == "assistant")
+        blocks = 1 + sum(a[0] != b[0] for a, b in zip(turns, turns[1:]))
+        assert r.formatted.count(chat.START) == r.formatted.count(chat.END) == blocks
+        assert not re.search(r"</?s>|\[/?INST\]|<</?SYS>>", r.formatted)
+
+
+def test_chats_of_nothing(spark):
+    assert chat.format_chats(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
+
+
+PATTERNS = [("assign", re.compile(secret_scan.ASSIGN, re.ASCII), 2, 8), ("access", re.compile("AKIA[A-Z0-9]+"), 0, 16), ("hex", re.compile("[0-9a-f]+"), 0, 32)]
+
+
+def base_spans(text):
+    found = [(m.start(), k, m.end()) for k, (_, p, g, least) in enumerate(PATTERNS) for m in p.finditer(text) if len(m[g]) >= least]
+    return sorted(found)
+
+
+def test_base_spans_are_those_of_the_patterns(spark):
+    texts = [None, "", "token=token:longvalue123 PassWord = \"abcdefgh\"", "api_key:'short' apikey: 0123456789abcdef", "é🙂 secret=" + "a1" * 30,
+             "AKIAAKIA AKIA" + "Z" * 11 + " xAKIA" + "Q9" * 8, "f" * 31 + " " + "f" * 32 + "g" + "0" * 40, "ſecret=abcdefghij toKen=abcdefghij",
+             "x" * 200_000 + " secret: abcdefgh"]
+    rows = [(i, t, 1) for i, t in enumerate(texts)] + [(0, texts[4], 1)] * 2
+    out = secret_scan.scan_secrets(spark.createDataFrame(rows, "doc_id long, text string, spans int")).collect()
+    assert len(out) == len(rows)
+    want = {t or "": [s for s in base_spans(t or "")] for t in texts}
+    assert sorted([tuple(s) for s in r.spans if s["kind"] < 3] for r in out) == sorted(want[t or ""] for _, t, _ in rows)
+
+
+def test_entropy_spans(spark):
+    texts = {"random": "see Zx9Qw3Er7Ty1Ui5Op2As8Df4Gh6Jk0 now", "word": "see internationalisationprocedures9 now",
+             "allowed": "see ExampleZx9Qw3Er7Ty1Ui5Op2As8Df4 now", "uuid": "123e4567-e89b-12d3-a456-426614174000",
+             "base": "token=Zx9Qw3Er7Ty1Ui5Op2As8Df4Gh6Jk0"}
+    rows = spark.createDataFrame(list(texts.items()), "doc_id string, text string")
+    got = {r.doc_id: r.s for r in secret_scan.scan_secrets(rows).select("doc_id", secret_scan.spans_text(F.col("spans")).alias("s")).collect()}
+    assert got == {"random": "entropy:4:34", "word": "", "allowed": "", "uuid": "", "base": "assign:0:36"}
