@@ -39,13 +39,16 @@ def heuristic_classify(df: DataFrame, red_team_terms: Iterable[str] = K.RED_TEAM
 
 
 def response_json(response: Column) -> Column:
-    """JSON object in a noisy response: all of it, else fenced, else first { to last }."""
+    """JSON object in a noisy response: all of it, else fenced, else first { to last }.
+
+    Each candidate begins with a brace, so what parses is an object, and the next one is
+    only parsed if it does not.
+    """
     body = X.strip(response)
     fenced = F.regexp_extract(body, r"(?s)```(?:json)?\s*(\{.*?\})\s*```", 1)
     braces = F.regexp_extract(body, r"(?s)\{.*\}", 0)
-    tries = [F.try_parse_json(c) for c in (body, fenced, braces)]
-    return F.coalesce(*[F.when(F.startswith(F.schema_of_variant(v), F.lit("OBJECT")), v)
-                        for v in tries])
+    return F.coalesce(*[F.try_parse_json(F.when(F.startswith(c, F.lit("{")), c))
+                        for c in (body, fenced, braces)])
 
 
 def _text_field(v: Column, name: str) -> Column:

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from feedtriage.functions import text as X
+from feedtriage.scratch import small
 
 INTERESTING = ["vulnerability", "red_team"]
 
@@ -30,19 +32,21 @@ def lookback(df: DataFrame, since: datetime | Column, col: str = "published",
 
 
 def lookback_early_stop(df: DataFrame, since: datetime | Column, order: list[str],
-                        by: str = "source", col: str = "published") -> DataFrame:
+                        by: str | list[str] = "source", col: str = "published") -> DataFrame:
     """Rows of a newest-first list up to its first old row; undated rows are skipped.
 
     The stop position is one partial aggregate per list, so a long list is not
-    pulled into one sorted window.
+    pulled into one sorted window, and a checked broadcast brings it to the rows.
     """
     old = F.col(col) < F.lit(since)
     place = F.struct(*order)
-    stops = (df.where(old).groupBy(F.col(by).alias("_by"))
+    keys = [by] if isinstance(by, str) else by
+    stops = (df.where(old).groupBy(*[F.col(k).alias(f"_by_{k}") for k in keys])
              .agg(F.min(place).alias("_stop")))
-    joined = df.join(stops, df[by].eqNullSafe(stops["_by"]), "left")
+    same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_by_{k}")) for k in keys])
+    joined = df.join(small(stops), same, "left")
     before = F.col("_stop").isNull() | (place < F.col("_stop"))
-    return joined.where(before & F.col(col).isNotNull()).drop("_by", "_stop")
+    return joined.where(before & F.col(col).isNotNull()).drop("_stop", *[f"_by_{k}" for k in keys])
 
 
 def page_cap(df: DataFrame, max_pages: int | Column, col: str = "page_ord") -> DataFrame:
@@ -73,12 +77,11 @@ def passes_prefilter(text: Column, groups: dict[str, list[str]] | list[str]) ->
 def with_bypass(df: DataFrame, sources: DataFrame, out: str = "bypass") -> DataFrame:
     """Attach the source's bypass flag; unknown sources do not bypass.
 
-    The dimension has one row per configured source, so Spark sizes it as small
-    and broadcasts it by itself.
+    The dimension has one row per configured source, so it is broadcast.
     """
     flags = (sources.where("bypass_prefilter").select(F.col("name").alias("_name"))
              .distinct().withColumn(out, F.lit(True)))
-    joined = df.join(flags, df["source"] == flags["_name"], "left").drop("_name")
+    joined = df.join(F.broadcast(flags), df["source"] == flags["_name"], "left").drop("_name")
     return joined.withColumn(out, F.coalesce(out, F.lit(False)))
 
 

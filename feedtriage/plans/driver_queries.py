@@ -90,6 +90,51 @@ def rss_source(spark, d):
                        T.clock(F.col("published")).alias("published"))
 
 
+def rss_partly_broken(spark, d):
+    """Feeds with an entity that XML does not know, every third one cut off in an entry."""
+    docs = T.table(spark, d, "documents")
+    link = lambda part: F.concat(F.lit("https://feeds.example/"), F.col("doc_id").cast("string"), F.lit(part))
+    item = lambda part, text: F.concat(
+        F.lit(f"<item><title>{text}</title><pubDate>Tue, 02 Jan 2024 10:00:00 GMT</pubDate><link>"), link(part),
+        F.lit("</link></item>"))
+    body = F.concat(
+        F.lit('<?xml version="1.0"?><rss version="2.0"><channel><title>c</title>'), item("/a", "one"),
+        item("/b", "fish&nbsp;&copy; & chips"),
+        F.when(F.col("doc_id") % 3 == 0, F.lit("<item><title>cut")).otherwise(
+            F.concat(item("/c", "three"), F.lit("</channel></rss>"))))
+    raw = docs.select("source", F.col("doc_id").cast("int").alias("page_ord"), F.lit(T.RUN_TS).alias("fetched_at"),
+                      body.alias("body"))
+    kept = rss.rss_articles(raw, SINCE, T.RUN_TS).select("page_ord", "entry_ord", "url", F.lit(None).cast("string").alias("error"))
+    lost = rss.rss_errors(raw).select("page_ord", F.lit(None).cast("int").alias("entry_ord"),
+                                      F.lit(None).cast("string").alias("url"), "error")
+    return kept.unionByName(lost)
+
+
+def _order_pages(spark, d, broken):
+    """Landed advisory pages, one per order, of two fetches for each priority."""
+    rows = T.table(spark, d, "orders")
+    entry = F.struct(F.concat(F.lit("https://orders.example/"), F.col("o_orderkey").cast("string")).alias("html_url"),
+                     F.lit("critical").alias("severity"), F.lit("2024-01-20T00:00:00Z").alias("published_at"))
+    fetch = F.when(F.col("o_orderkey") % 2 == 0, F.lit(T.RUN_TS)).otherwise(F.lit(SINCE))
+    return rows.select(F.col("o_orderpriority").alias("source"), F.col("o_orderkey").cast("int").alias("page_ord"),
+                       fetch.alias("fetched_at"), F.when(broken, "no list").otherwise(F.to_json(F.array(entry))).alias("body"))
+
+
+def advisory_two_fetches(spark, d):
+    """A broken page hides the later pages of its own fetch only."""
+    key = F.col("o_orderkey")
+    raw = _order_pages(spark, d, (key % 2 == 1) & (key > 3000) & (key % 101 == 0))
+    return advisories.advisory_articles(raw, SINCE).select("source", "page_ord", "url")
+
+
+def advisory_many_pages(spark, d):
+    """All landed pages count, unless a cap is named, which reports what it leaves out."""
+    raw = _order_pages(spark, d, F.lit(False))
+    kept = advisories.advisory_articles(raw, SINCE).groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+    left_out = advisories.advisory_errors(raw, 500).groupBy("source").agg(F.count(F.lit(1)).alias("beyond_cap"))
+    return kept.join(left_out, "source")
+
+
 def catalogue_source(spark, d):
     rows = kev.kev_articles(T.catalogue_payloads(spark, d), datetime(2024, 1, 16, 9, tzinfo=UTC))
     return rows.select("source", "title", "url", "summary",
@@ -160,12 +205,18 @@ def lookback_day(spark, d):
 
 
 def lookback_early_stop(spark, d):
-    ev = T.table(spark, d, "events").withColumn("place", -F.col("event_id"))
-    rows = filters.lookback_early_stop(ev, datetime(2024, 1, 12, tzinfo=UTC), ["place"],
+    """The lists are in an order that times do not follow, and some times are missing."""
+    ev = T.table(spark, d, "events").withColumn("ts", F.when(F.col("event_id") % 50 != 0, F.col("ts")))
+    rows = filters.lookback_early_stop(ev, datetime(2024, 1, 2, tzinfo=UTC), ["user_id", "event_id"],
                                        "event_type", "ts")
     return rows.select("event_type", "event_id")
 
 
+def enabled_category(spark, d):
+    """Of two reportable categories only one is enabled."""
+    return filters.category_gate(T.document_items(spark, d), ["red_team"]).select("seq", "category")
+
+
 def keyword_prefilter(spark, d):
     return filters.keyword_prefilter(T.document_articles(spark, d), T.PREFILTER).select("seq")
 
@@ -463,7 +514,8 @@ def funnel_by_source(spark, d):
 
 QUERIES = {f.__name__: f for f in (
     articles_clean_html, scalar_text, cve_extract, date_parsing, next_page_links,
-    header_safe_titles, rss_source, catalogue_source, advisory_source, source_errors,
+    header_safe_titles, rss_source, rss_partly_broken, catalogue_source, advisory_source,
+    advisory_two_fetches, advisory_many_pages, source_errors, enabled_category,
     source_dimension, union_order, store_import, lookback_instant, lookback_day,
     lookback_early_stop, keyword_prefilter, prefilter_bypass, relevance_fail_open,
     severity_allow_list, page_cap, heuristic_classify, model_response_parse,

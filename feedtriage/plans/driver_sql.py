@@ -305,9 +305,22 @@ ORACLES = {
     "lookback_day": f"""SELECT l_returnflag, count(*) AS n, {_clock("min(l_shipdate)")} AS first
         FROM lineitem WHERE CAST(l_shipdate AS DATE) >= DATE '1999-06-17' GROUP BY 1""",
     "lookback_early_stop": """SELECT event_type, event_id FROM (
-        SELECT *, max(CAST(ts < TIMESTAMP '2024-01-12' AS INT)) OVER (PARTITION BY event_type
-          ORDER BY event_id DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS stopped
-        FROM events) WHERE stopped = 0""",
+        SELECT *, max(coalesce(CAST(known < TIMESTAMP '2024-01-02' AS INT), 0)) OVER (PARTITION BY event_type
+          ORDER BY user_id, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS stopped
+        FROM (SELECT *, CASE WHEN event_id % 50 <> 0 THEN ts END AS known FROM events))
+        WHERE stopped = 0 AND known IS NOT NULL""",
+    "enabled_category": _WITH(_ITEMS) + "SELECT seq, category FROM items WHERE category = 'red_team'",
+    "rss_partly_broken": """SELECT CAST(doc_id AS INT) AS page_ord, CAST(e AS INT) AS entry_ord,
+        'https://feeds.example/' || doc_id || ['/a', '/b', '/c'][e + 1] AS url, NULL::VARCHAR AS error
+        FROM documents, range(3) AS r(e) WHERE e < 2 OR doc_id % 3 <> 0
+        UNION ALL SELECT CAST(doc_id AS INT), NULL, NULL, '1 entries could not be parsed' FROM documents WHERE doc_id % 3 = 0""",
+    "advisory_two_fetches": """SELECT o_orderpriority AS source, CAST(o_orderkey AS INT) AS page_ord,
+        'https://orders.example/' || o_orderkey AS url FROM (
+          SELECT *, min(CASE WHEN o_orderkey % 2 = 1 AND o_orderkey > 3000 AND o_orderkey % 101 = 0 THEN o_orderkey END)
+            OVER (PARTITION BY o_orderpriority, o_orderkey % 2) AS broken FROM orders)
+        WHERE broken IS NULL OR o_orderkey < broken""",
+    "advisory_many_pages": """SELECT o_orderpriority AS source, count(*) AS n,
+        count(*) FILTER (o_orderkey >= 500) AS beyond_cap FROM orders GROUP BY 1""",
     "keyword_prefilter": _WITH(_DOCS) + f"SELECT seq FROM docs WHERE {_PASSES}",
     "prefilter_bypass": _WITH(_DOCS) + f"""SELECT seq, source FROM docs
         WHERE {_NUMBER} >= 10 OR {_PASSES}""",

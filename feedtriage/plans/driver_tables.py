@@ -7,7 +7,9 @@ from datetime import datetime, timezone
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from feedtriage.functions import text as X
+from feedtriage.operators.numbering import dense_index
 from feedtriage.schema import CLASSIFICATION, SEEN
+from feedtriage.scratch import Scratch
 
 EPOCH = 1_704_067_200  # 2024-01-01 00:00 UTC
 RUN_TS = datetime(2024, 2, 1, tzinfo=timezone.utc)
@@ -135,11 +137,11 @@ def event_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 def lineitem_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items from the line items: hub keys (orders), shared URLs and CVE ids."""
     rows = table(spark, sf_dir, "lineitem")
-    seq = (F.unix_date(F.col("l_shipdate").cast("date")) * F.lit(10_000_000_000)
-           + F.col("l_orderkey") * 100 + F.col("l_linenumber")).cast("long")
-    rows = rows.groupBy(seq.alias("seq")).agg(
-        F.min("l_orderkey").alias("o"), F.min("l_partkey").alias("p"),
-        F.min("l_suppkey").alias("s"), F.min("l_returnflag").alias("f"))
+    order = ["l_shipdate", "l_orderkey", "l_linenumber"]
+    order += [c for c in rows.columns if c not in order]
+    rows = dense_index(rows, [F.col(c) for c in order], "seq", Scratch(spark, "lineitems"))
+    rows = rows.select("seq", F.col("l_orderkey").alias("o"), F.col("l_partkey").alias("p"),
+                       F.col("l_suppkey").alias("s"), F.col("l_returnflag").alias("f"))
     s = lambda n: F.col(n).cast("string")
     return rows.select(
         "seq", F.concat(F.lit("https://parts.example/"), s("p"), F.lit("/"), s("s")).alias("url"),

@@ -130,12 +130,17 @@ def refresh_feed(spark: SparkSession, cfg: JobConfig, run_ts: datetime) -> None:
 def commit(spark: SparkSession, result: RunResult, batch: str) -> bool:
     """Persist a run as one batch; a batch that is already committed is left alone.
 
+    Sources and pages that failed go beside the store, in ``<store>-errors``.
+
     The outbox is written before the commit row, so a crash in between repeats
     the batch instead of losing its messages.
     """
     cfg = result.config
     if store.is_committed(spark, cfg.store_path, batch):
+        if cfg.feed.enabled:  # the first try may have ended before it
+            refresh_feed(spark, cfg, result.run_ts)
         return False
+    result.source_errors.write.mode("overwrite").parquet(f"{cfg.store_path}-errors/batch={batch}")
     if cfg.outbox_path:
         report.write_outbox(outbox_rows(result), f"{cfg.outbox_path}/batch={batch}")
     store.commit_batch(spark, cfg.store_path, batch, result.records, result.backfills,

@@ -79,7 +79,7 @@ ADVISORY_PAGE = (
     " vulnerabilities:array<struct<package:struct<ecosystem:string, name:string>>>>>"
 )
 
-_FEED_ENTRY = (
+FEED_ENTRY = (
     "struct<title:string, link:array<struct<_VALUE:string,_href:string,_rel:string>>,"
     " guid:struct<_VALUE:string,_isPermaLink:string>, description:string, summary:string,"
     " content:string, encoded:string, pubDate:string, published:string, issued:string,"
@@ -87,6 +87,6 @@ _FEED_ENTRY = (
 )
 # RSS 2.0 keeps items in the channel, RDF beside it, Atom calls them entries.
 FEED_PAYLOAD = (
-    f"struct<channel:struct<item:array<{_FEED_ENTRY}>>,"
-    f" item:array<{_FEED_ENTRY}>, entry:array<{_FEED_ENTRY}>>"
+    f"struct<channel:struct<item:array<{FEED_ENTRY}>>,"
+    f" item:array<{FEED_ENTRY}>, entry:array<{FEED_ENTRY}>>"
 )

@@ -24,6 +24,21 @@ def checkpoint_root(spark: SparkSession) -> str:
     raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
 
 
+#: Rows of a table that may be broadcast.
+SMALL_ROWS = 100_000
+
+
+def small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
+    """``df`` marked for broadcast if it has at most ``rows`` rows, else as it is.
+
+    For narrow tables of one row per source or fetch; they are computed here, once.
+    """
+    found = df.limit(rows + 1).collect()
+    if len(found) > rows:
+        return df
+    return F.broadcast(df.sparkSession.createDataFrame(found, df.schema))
+
+
 class Scratch:
     """Writes DataFrames below one folder per job and reads them back."""
 

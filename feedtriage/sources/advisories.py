@@ -9,10 +9,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 from feedtriage.functions import dates as D, text as X
 from feedtriage.operators.filters import lookback_early_stop, page_cap, severity_allowed
 from feedtriage.schema import ADVISORY_PAGE
+from feedtriage.scratch import small
+from feedtriage.sources.raw import page_failures
 
 # Defaults and texts of the article made from an advisory.
 DEFAULT_SEVERITIES = ["critical"]
-DEFAULT_MAX_PAGES = 3
 NO_TITLE = "GitHub advisory"
 DESCRIPTION_CHARS = 500
 MAX_PACKAGES = 8
@@ -53,25 +54,31 @@ def _pages(raw: DataFrame) -> DataFrame:
 
 def advisory_entries(raw: DataFrame, since: datetime,
                      severities: list[str] | Column = DEFAULT_SEVERITIES,
-                     max_pages: int | Column = DEFAULT_MAX_PAGES,
+                     max_pages: int | Column | None = None,
                      early_stop: bool = False) -> DataFrame:
-    """All advisories of the pages that count: below the cap and before a broken page.
+    """All advisories of the pages that count: before the first broken page of their
+    fetch, and below the cap if there is one.
 
     Kept are dated advisories in the window with an allowed severity and a link.
-    ``early_stop`` also drops everything after the first one that is too old.
+    ``early_stop`` also drops everything after the first one of a fetch that is too old.
     """
-    pages = _pages(page_cap(raw, max_pages))
-    broken = (pages.where(F.col("_page").isNull()).groupBy(F.col("source").alias("_s"))
+    pages = _pages(raw if max_pages is None else page_cap(raw, max_pages))
+    broken = (pages.where(F.col("_page").isNull())
+              .groupBy(F.col("source").alias("_s"), F.col("fetched_at").alias("_f"))
               .agg(F.min("page_ord").alias("_broken")))
-    pages = (pages.join(broken, pages["source"] == F.col("_s"), "left")
+    same = F.col("source").eqNullSafe(F.col("_s")) & F.col("fetched_at").eqNullSafe(F.col("_f"))
+    pages = (pages.join(small(broken), same, "left").drop("_s", "_f")
              .where(F.col("_broken").isNull() | (F.col("page_ord") < F.col("_broken"))))
     allow = severities if isinstance(severities, list) else severities.alias("_allow")
     keep = ["source", "fetched_at", "page_ord"]
+    # Times are read inside the array, so that later filters do not read them again.
+    dated = F.transform("_page", lambda e: F.struct(
+        e.alias("e"), D.iso_timestamp(e["published_at"]).alias("published")))
     rows = pages.select(*keep, *([] if isinstance(allow, list) else [allow]),
-                        F.posexplode("_page").alias("entry_ord", "e"))
-    rows = rows.withColumn("published", D.iso_timestamp(F.col("e.published_at")))
+                        F.posexplode(dated).alias("entry_ord", "_x"))
+    rows = rows.select("*", "_x.e", "_x.published").drop("_x")
     if early_stop:
-        rows = lookback_early_stop(rows, since, ["page_ord", "entry_ord"])
+        rows = lookback_early_stop(rows, since, ["page_ord", "entry_ord"], by=["source", "fetched_at"])
     allowed = severity_allowed(F.col("e.severity"),
                                allow if isinstance(allow, list) else F.col("_allow"))
     made = advisory_article(F.col("e"))
@@ -82,13 +89,17 @@ def advisory_entries(raw: DataFrame, since: datetime,
             .withColumn("undated", F.lit(False)).drop("_inside"))
 
 
-def advisory_errors(raw: DataFrame) -> DataFrame:
-    return _pages(raw).where(F.col("_page").isNull()).select(
-        "source", "page_ord", F.lit("page could not be parsed").alias("error"))
+def advisory_errors(raw: DataFrame, max_pages: int | Column | None = None) -> DataFrame:
+    """Pages that are no list, and pages that a cap leaves out."""
+    broken = page_failures(_pages(raw), F.col("_page").isNull(), "page could not be parsed")
+    if max_pages is None:
+        return broken
+    limit = max_pages if isinstance(max_pages, Column) else F.lit(max_pages)
+    return broken.unionByName(page_failures(raw, F.col("page_ord") >= limit, "page beyond max_pages"))
 
 
 def advisory_articles(raw: DataFrame, since: datetime,
                       severities: list[str] = DEFAULT_SEVERITIES,
-                      max_pages: int = DEFAULT_MAX_PAGES, early_stop: bool = False) -> DataFrame:
+                      max_pages: int | None = None, early_stop: bool = False) -> DataFrame:
     return (advisory_entries(raw, since, severities, max_pages, early_stop)
             .where("in_window").drop("in_window", "undated"))

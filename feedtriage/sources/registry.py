@@ -25,14 +25,23 @@ def register_source(kind: str, entries: EntryFn, errors: Callable[[DataFrame], D
 def _advisory_entries(raw: DataFrame, since: datetime, run_ts: datetime) -> DataFrame:
     listed = F.from_json(F.col("options")["severities"], "array<string>")
     severities = F.coalesce(listed, F.array(*[F.lit(s) for s in advisories.DEFAULT_SEVERITIES]))
-    max_pages = F.coalesce(F.col("options")["max_pages"].try_cast("int"),
-                           F.lit(advisories.DEFAULT_MAX_PAGES))
-    return advisories.advisory_entries(raw, since, severities, max_pages)
+    stops = F.coalesce(F.col("options")["early_stop"] == "true", F.lit(False))
+    whole = advisories.advisory_entries(raw.where(~stops), since, severities, _max_pages())
+    return whole.unionByName(advisories.advisory_entries(raw.where(stops), since, severities, _max_pages(), True))
+
+
+def _max_pages():
+    """The cap that the source's options name, else none."""
+    return F.coalesce(F.col("options")["max_pages"].try_cast("int"), F.lit(2 ** 31 - 1))
+
+
+def _advisory_errors(raw: DataFrame) -> DataFrame:
+    return advisories.advisory_errors(raw, _max_pages())
 
 
 register_source("rss", rss.rss_entries, rss.rss_errors)
 register_source("cisa_kev", lambda raw, since, run_ts: kev.kev_entries(raw, since), kev.kev_errors)
-register_source("github_advisories", _advisory_entries, advisories.advisory_errors)
+register_source("github_advisories", _advisory_entries, _advisory_errors)
 
 
 def sources_table(spark: SparkSession, sources: list[SourceConfig]) -> DataFrame:
@@ -48,12 +57,13 @@ def union_sources(raw: DataFrame, sources: list[SourceConfig], since: datetime,
     """(entries, source_errors) of all enabled sources of a known type.
 
     Entries carry source_ord, fetched_at, page_ord and entry_ord, the processing
-    order. The dimension is as long as the configuration, so the join is small.
+    order. The dimension is as long as the configuration, so it is broadcast and no
+    payload is shuffled by its source.
     """
     spark = raw.sparkSession
     enabled = sources_table(spark, sources).where("enabled")
     dim = enabled.select(F.col("name").alias("_name"), "type", "options", "source_ord")
-    tagged = raw.join(dim, raw["source"] == dim["_name"]).drop("_name")
+    tagged = raw.join(F.broadcast(dim), raw["source"] == dim["_name"]).drop("_name")
     wanted = {s.type for s in sources if s.enabled}
     order = enabled.select(F.col("name").alias("_name"), "source_ord")
     parts, problems = [], []
@@ -73,5 +83,5 @@ def union_sources(raw: DataFrame, sources: list[SourceConfig], since: datetime,
         parts.append(rss.rss_entries(tagged.where(F.lit(False)), since, run_ts))
     union = lambda dfs: dfs[0] if len(dfs) == 1 else dfs[0].unionByName(union(dfs[1:]))
     entries = union(parts)
-    entries = entries.join(order, entries["source"] == order["_name"]).drop("_name")
+    entries = entries.join(F.broadcast(order), entries["source"] == order["_name"]).drop("_name")
     return entries, union(problems)

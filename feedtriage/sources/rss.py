@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, functions as F
 
 from feedtriage.functions import dates as D, text as X
-from feedtriage.schema import FEED_PAYLOAD
+from feedtriage.schema import FEED_ENTRY, FEED_PAYLOAD
 
 _OPTIONS = {"ignoreNamespace": "true", "mode": "PERMISSIVE",
             "columnNameOfCorruptRecord": "_broken"}
@@ -33,21 +33,54 @@ def _published(e: Column) -> Column:
     return F.coalesce(*[D.feed_timestamp(e[n]) for n in fields])
 
 
+# A complete entry of a feed that is not well formed, and where entries begin.
+_ENTRY, _ENTRY_START = r"(?s)<(item|entry)[\s>].*?</\1\s*>", r"<(item|entry)[\s>]"
+# An ampersand that begins none of the entities that XML itself declares.
+_BARE_AMPERSAND = r"&(?!(amp|lt|gt|quot|apos|#\d+|#[xX][0-9a-fA-F]+);)"
+
+
 def parse_feeds(raw: DataFrame) -> DataFrame:
     return raw.withColumn("_feed", F.from_xml("body", _SCHEMA, _OPTIONS))
 
 
+def _is_broken() -> Column:
+    return F.col("_feed._broken").isNotNull()
+
+
+def _fragments() -> Column:
+    """The complete entries of a broken payload, each cut out as text."""
+    return F.regexp_extract_all("body", F.lit(_ENTRY), 0)
+
+
+def _mended(fragment: Column) -> Column:
+    """The entry of a fragment by itself; null if it is not well formed on its own."""
+    alone = F.concat(F.lit("<rss><channel>"), F.regexp_replace(fragment, _BARE_AMPERSAND, "&amp;"),
+                     F.lit("</channel></rss>"))
+    named = F.regexp_replace(F.regexp_replace(alone, r"<entry([\s>])", "<item$1"), "</entry", "</item")
+    feed = F.from_xml(named, _SCHEMA, _OPTIONS)
+    return F.when(feed["_broken"].isNull(), F.try_element_at(feed["channel"]["item"], F.lit(1)))
+
+
 def rss_entries(raw: DataFrame, since: datetime, run_ts: datetime) -> DataFrame:
     """All entries of feed payloads, with ``in_window`` telling which to keep.
 
+    Of a payload that is not well formed, the complete entries are read one by one.
     Undated entries are kept and dated now; entries without a link are not.
     """
     feed = parse_feeds(raw)
     found = F.coalesce("_feed.channel.item", "_feed.item", "_feed.entry")
+    whole = F.transform(found, lambda e: F.struct(e.alias("e"), F.lit(None).cast("string").alias("text")))
+    cut = F.transform(_fragments(), lambda t: F.struct(F.lit(None).cast(FEED_ENTRY).alias("e"), t.alias("text")))
     rows = feed.select("source", "fetched_at", "page_ord",
-                       F.posexplode(found).alias("entry_ord", "e"))
+                       F.posexplode(F.when(_is_broken(), cut).otherwise(whole)).alias("entry_ord", "_x"))
+    rows = rows.withColumn("_one", F.array(F.coalesce(
+        F.col("_x.e"), F.when(F.col("_x.text").isNotNull(), _mended(F.col("_x.text"))))))
+    # Time and link are read inside an array, so that later filters do not read them again.
+    rows = rows.select("source", "fetched_at", "page_ord", "entry_ord", F.explode(F.transform(
+        F.filter("_one", lambda e: e.isNotNull()),
+        lambda e: F.struct(e.alias("e"), _published(e).alias("_at"), _link(e).alias("url")))).alias("_y"))
+    rows = rows.select("source", "fetched_at", "page_ord", "entry_ord", "_y.*")
     e = F.col("e")
-    rows = rows.withColumns({"_at": _published(e), "url": _link(e)})
     inside = F.col("_at").isNull() | (F.col("_at") >= F.lit(since))
     text = F.coalesce(e["description"], e["summary"], e["encoded"], e["content"])
     return rows.select(
@@ -60,10 +93,18 @@ def rss_entries(raw: DataFrame, since: datetime, run_ts: datetime) -> DataFrame:
 
 
 def rss_errors(raw: DataFrame) -> DataFrame:
-    feed = parse_feeds(raw)
-    failed = F.col("body").isNull() | F.col("_feed._broken").isNotNull()
-    return feed.where(failed).select("source", "page_ord",
-                                     F.lit("feed could not be parsed").alias("error"))
+    """Payloads without any entry that could be read, and the number of entries lost in others."""
+    feed = parse_feeds(raw).where(F.col("body").isNull() | _is_broken())
+    parts = feed.select("source", "fetched_at", "page_ord", F.xxhash64("body").alias("_body"),
+                        (F.regexp_count("body", F.lit(_ENTRY_START)) - F.size(_fragments())).alias("_cut"),
+                        F.explode_outer(_fragments()).alias("_text"))
+    good = F.when(F.col("_text").isNotNull(), _mended(F.col("_text"))).isNotNull()
+    counted = parts.groupBy("source", "fetched_at", "page_ord", "_body").agg(
+        F.sum(F.when(good, 1).otherwise(0)).alias("good"),
+        (F.sum(F.when(F.col("_text").isNotNull() & ~good, 1).otherwise(0)) + F.coalesce(F.max("_cut"), F.lit(0))).alias("bad"))
+    lost = F.concat(F.col("bad").cast("string"), F.lit(" entries could not be parsed"))
+    return (counted.where("good = 0 or bad > 0")
+            .select("source", "page_ord", F.when(F.col("good") == 0, "feed could not be parsed").otherwise(lost).alias("error")))
 
 
 def rss_articles(raw: DataFrame, since: datetime, run_ts: datetime) -> DataFrame:

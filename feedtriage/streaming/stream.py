@@ -26,9 +26,17 @@ def run_stream(spark: SparkSession, cfg: JobConfig, raw_stream: DataFrame, check
     is the store itself, since one item has several keys and all-time memory.
     """
     cfg.validate()
+    known: list[str] = []
+
+    def stream_id() -> str:
+        """Spark's id of the query, which its checkpoint keeps: batches of another
+        checkpoint have other names, though their numbers start at 0 again."""
+        if not known:
+            known.append(spark.read.json(f"{checkpoint}/metadata").select("id").first().id)
+        return known[0]
 
     def process(batch: DataFrame, batch_id: int) -> None:
-        name = f"{batch_id:012d}"
+        name = f"{stream_id()}-{batch_id:012d}"
         if store.is_committed(spark, cfg.store_path, name):
             return
         landed = Scratch(spark, "batch")
@@ -45,6 +53,10 @@ def run_stream(spark: SparkSession, cfg: JobConfig, raw_stream: DataFrame, check
 
 def bounded_url_dedup(articles: DataFrame, delay: str = "1 day",
                       time_col: str = "published") -> DataFrame:
-    """Stream without repeated URLs inside the watermark: layer 1 with bounded state only."""
-    return (articles.where(F.col(time_col).isNotNull()).withWatermark(time_col, delay)
-            .dropDuplicatesWithinWatermark(["url"]))
+    """Stream without repeated URLs inside the watermark: layer 1 with bounded state only.
+
+    Undated rows have no place in the watermark and pass through.
+    """
+    dated = (articles.where(F.col(time_col).isNotNull()).withWatermark(time_col, delay)
+             .dropDuplicatesWithinWatermark(["url"]))
+    return dated.unionByName(articles.where(F.col(time_col).isNull()))

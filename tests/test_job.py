@@ -129,10 +129,45 @@ def test_stream_equals_batches(spark, tmp_path):
     got, want = (sorted(map(tuple, store.read_seen(spark, c.store_path).collect()))
                  for c in (cfg, other))
     assert got == want and len(got) == 3
+    # A new checkpoint starts at batch 0 again, but its batches are other ones.
+    new = channel(item("New flaw CVE-2026-2222", "https://x/99", NOW))
+    land(9, [("a", new)])
+    stream = read_landing_stream(spark, str(zone))
+    run_stream(spark, cfg, stream, str(tmp_path / "ckpt2"), now=lambda: NOW).awaitTermination()
+    assert {r.url for r in store.read_seen(spark, cfg.store_path).collect()} >= {"https://x/99"}
+
+
+def test_repeated_commit_refreshes_the_feed(spark, tmp_path):
+    feed_path = tmp_path / "feed.xml"
+    cfg = config(tmp_path, feed=FeedConfig(enabled=True, path=str(feed_path)),
+                 sources=[SourceConfig("a"), SourceConfig("b"), SourceConfig("silent")])
+    result = run(spark, cfg, spark.createDataFrame(feed_rows(*BODIES), RAW), NOW)
+    assert commit(spark, result, "1")
+    text = feed_path.read_text()
+    feed_path.unlink()
+    assert not commit(spark, result, "1") and feed_path.read_text() == text
+    errors = spark.read.parquet(f"{cfg.store_path}-errors").collect()
+    assert [(r.source, r.error) for r in errors] == [("silent", "no payload")]
+
+
+def test_sources_are_not_shuffled(spark, tmp_path):
+    """No payload or article is moved by the name of its source."""
+    from pyspark.sql import functions as F
+    from feedtriage.operators import filters
+    from feedtriage.sources import registry
+    raw = spark.createDataFrame(feed_rows(*BODIES), RAW)
+    sources = config(tmp_path).sources
+    entries, _ = registry.union_sources(raw, sources, NOW - timedelta(days=1), NOW)
+    gated = filters.with_bypass(entries, registry.sources_table(spark, sources))
+    stopped = filters.lookback_early_stop(entries, NOW - timedelta(days=1), ["page_ord", "entry_ord"])
+    for df in (entries, gated, stopped):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning(source" not in plan
 
 
 def test_stream_counts_and_bounded_dedup(spark, tmp_path):
     rows = [("s", f"https://x/{i % 3}", NOW + timedelta(hours=i)) for i in range(6)]
+    rows += [("s", "https://x/0", None), ("s", "https://x/0", None)]
     path = str(tmp_path / "articles")
     df = spark.createDataFrame(rows, "source string, url string, published timestamp")
     df.write.parquet(path)
@@ -145,7 +180,8 @@ def test_stream_counts_and_bounded_dedup(spark, tmp_path):
     q = (bounded_url_dedup(stream).writeStream.format("memory").queryName("urls")
          .trigger(availableNow=True).start())
     q.awaitTermination()
-    assert spark.table("urls").count() == 3
+    assert spark.table("urls").where("published is not null").count() == 3
+    assert spark.table("urls").where("published is null").count() == 2
 
 
 def test_config():
