@@ -81,7 +81,7 @@ class Parts:
             differ = 2 * high * (self.den - self.num) // (self.den + self.num)
             if not differ:
                 continue  # sets of this class that link are equal
-            spare = min(6, differ)
+            spare = min(differ, 6 + differ // 8)
             n = differ + 1 + spare
             edges = np.append(np.searchsorted(members, self._ranges(n)), len(members))
             part = sums[edges[1:]] - sums[edges[:-1]]
