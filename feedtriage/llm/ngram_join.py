@@ -1,7 +1,7 @@
 """Jaccard join of documents on word n-grams by signature trees.
 
 1. One pass makes each text's set of n-grams. Texts with equal sets are one class; its
-   smallest id stands for it from here on.
+   smallest id stands for it from step 3 on.
 2. Sets that may link are brought together by part keys. Sets of at most r members that
    link differ in at most d(r) members, so of d + 1 + e hash ranges at least 1 + e hold
    the same members in both. Each class emits the hash of each range; for the size class
@@ -35,6 +35,8 @@ from feedtriage.scratch import Scratch
 
 #: Sets of one task: larger clusters are joined chunk by chunk.
 CHUNK = 2_000
+#: Digests that a task remembers, so that copies bring their keys once.
+SEEN = 1_000_000
 #: Tasks over which the holders of one frequent key are dealt.
 SALTS = 64
 #: N-grams in more than this many texts of a sample of SAMPLE texts are frequent.
@@ -130,11 +132,16 @@ def ngram_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
     frequent = spark.sparkContext.broadcast(_frequent(texts, n))
 
     def sketch(batches):
-        parts = Parts(num, den, frequent.value)
+        parts, seen, none = Parts(num, den, frequent.value), set(), np.zeros(0, np.int64)
         for batch, chunk in text_batches(batches, "text"):
             sets = shingle_sets(chunk, n)
-            keys = [parts.keys(s) for s in sets]
             digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
+            keys = []
+            for digest, members_of in zip(digests, sets):  # of the copies in a task one brings the keys
+                keys.append((none, none) if digest in seen else parts.keys(members_of))
+                seen.add(digest)
+            if len(seen) > SEEN:
+                seen.clear()
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()),
                  _lists([k for k, _ in keys]), _lists([k for _, k in keys])],
@@ -144,8 +151,8 @@ def ngram_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
     classes = sketches.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("class_id"))
     members = scratch.save(sketches.select("doc_id", "n_shingles", "digest").join(classes, "digest", "left")
                            .select("doc_id", "n_shingles", F.coalesce("class_id", "doc_id").alias("class_id")), "members")
-    reps = members.where("doc_id = class_id").select("doc_id").distinct()
-    clusters = _clusters(sketches.join(reps, "doc_id", "left_semi"), scratch)
+    clusters = (_clusters(sketches, scratch).join(members.select("doc_id", "class_id"), "doc_id")
+                .select(F.col("class_id").alias("doc_id"), "cluster").distinct())
 
     def join(chunk: list[str]) -> np.ndarray:
         return SignatureTree(shingle_sets(chunk, n), num, den).join()
