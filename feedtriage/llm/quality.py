@@ -22,7 +22,7 @@ from feedtriage.llm.labelled import held_out, labelled_sample
 
 BUCKETS, BINS, RANK = 4096, 8, 6
 #: Labelled rows that are learned from; twice as many at most.
-TRAINING_ROWS = 8_000
+TRAINING_ROWS = 4_000
 MEASURES = ["chars", "word_chars", "distinct", "upper", "punctuation", "symbols", "digits", "white",
             "repeats", "repeated_lines", "line_chars", "top_word", "short_words", "upper_words", "ragged_words"]
 _UPPER = bytes(range(65, 91))
