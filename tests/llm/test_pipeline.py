@@ -33,3 +33,13 @@ def test_run_on_the_entry(spark):
     for name in entry.queries():
         if name.startswith("op"):
             assert name.split("_")[0][2:].isdigit()
+
+
+def test_line_stage_removes_most_of_a_text(spark):
+    line = "this line comes back within one document, number {}".format
+    rows = [(1, "\n".join([line(1)] * 4 + ["short"])), (2, "\n".join([line(2)[::-1], line(3).upper()])),
+            (3, "\n".join([line(2)[::-1], line(3).upper()])), (4, line(2)[::-1] + "\nits own")]
+    docs = spark.createDataFrame([(i, t, "en", "src0", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: (r.text, r.n_chars) for r in corpus_pipeline.line_stage(spark, docs, "").collect()}
+    want = {1: line(1) + "\nshort", 2: rows[1][1], 3: "", 4: "its own"}
+    assert got == {i: (t, len(t)) for i, t in want.items()}
