@@ -3,8 +3,9 @@
 1. Every line of MIN_CHARS or more gets two 64-bit hashes; lines with equal hashes are
    one distinct line, with its first document (the smallest id).
 2. Longer lines emit the keys of the segment-partition edit join: their own segments and
-   those of their substrings that lines of fitting length may own. Lines that share a
-   key form clusters; keys that a sample shows to be frequent are dealt over salts.
+   those of their substrings that lines of fitting length may own, and runs of words of
+   which lines share one whose edits of words are few for their length. Lines that share
+   a key form clusters; keys that a sample shows to be frequent are dealt over salts.
 3. Clusters are joined by that edit join, at most two chunks at a time, and verified.
 4. The distinct lines of a component are one class. Its lines stay in the smallest
    document that holds one, the first time there, and go from all other places.
@@ -52,7 +53,7 @@ def _lines(docs: DataFrame) -> DataFrame:
 
 def _keys_of(texts: list[str]) -> dict[int, set[int]]:
     lines = {line for t in texts for line in t.split("\n") if len(line) >= edit_join.SHORTEST}
-    return {line_hash(x): {*edit_join.index_keys(x), *edit_join.probe_keys(x)} for x in lines}
+    return {line_hash(x): edit_join.all_keys(x) for x in lines}
 
 
 def _frequent(docs: DataFrame) -> np.ndarray:

@@ -137,3 +137,41 @@ def test_mix_draws_whole_documents(spark):
     key = lambda r: (r.doc_id is None, r.doc_id)
     assert sorted(map(key, kept.collect())) == sorted(map(key, drawn))
     assert mixing.mix(docs.limit(0), TARGETS).count() == 0 and mixing.selected(docs.limit(0), TARGETS).count() == 0
+
+
+def test_edits_grow_with_the_words_of_a_line(spark):
+    rng = random.Random(11)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 8))) for _ in range(400)]
+    lines = []
+    for n in (20, 39, 40, 45, 99, 170, 600):
+        base = [rng.choice(words) for _ in range(n)]
+        for share in (0.0, 0.02, 0.04, 0.06, 0.09, 0.12, 0.3):
+            c = list(base)
+            for at in sorted(rng.sample(range(n), int(share * n)), reverse=True):
+                c[at:at + 1] = rng.choice([[], ["Other"], [c[at], "More"]])
+            lines.append(" ".join(c))
+    root = list(range(len(lines)))
+    for i, a in enumerate(lines):
+        for j, b in enumerate(lines[:i]):
+            x, y = a.split(), b.split()
+            k, c = edit_join.word_edits(min(len(x), len(y))), edit_join.edits(min(len(a), len(b)))
+            if abs(len(x) - len(y)) <= k and distance(x, y) <= k or abs(len(a) - len(b)) <= c and distance(a, b) <= c:
+                root = [root[j] if r == root[i] else r for r in root]
+    got = edit_join.join(lines)
+    assert [[a == b for b in got] for a in got] == [[a == b for b in root] for a in root]
+    assert 5 < len(set(root)) < len(lines) - 15
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    out = {r.doc_id: r.text for r in line_dedup.dedup_lines(docs).collect()}
+    assert out == {i: t if root.index(root[i]) == i else "" for i, t in enumerate(lines)}
+
+
+def test_two_edits_of_characters_share_a_key():
+    rng = random.Random(12)
+    for _ in range(300):
+        a = "".join(rng.choice("abcd efg ") for _ in range(rng.randrange(200, 330)))
+        b = list(a)
+        for _ in range(2):
+            b[rng.randrange(len(b))] = rng.choice(["", " ", "x", "y z"[:2]])
+        b = "".join(b)
+        if edit_join.within(*sorted([a, b], key=len), edit_join.edits(min(len(a), len(b)))):
+            assert edit_join.all_keys(a) & edit_join.all_keys(b)
