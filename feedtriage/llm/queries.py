@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import string
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from feedtriage.llm import chat, embed_dedup, exact_dedup, line_dedup, mixing, ngram_join, pieces, quality, secret_scan, toxicity
+from feedtriage.llm import chat, embed_dedup, exact_dedup, line_dedup, merkle, mixing, ngram_join, pieces, quality, secret_scan, token_files, toxicity, whitening
+from feedtriage.scratch import Scratch
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -81,4 +84,27 @@ def op10_secret_scan(spark, d):
                         secret_scan.spans_text(F.col("spans")).alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_mixing, op3_ngram_join, op4_sentencepiece, op5_embedding_dedup, op6_quality, op7_toxicity, op8_line_dedup, op9_chat_formatting, op10_secret_scan)}
+def op11_token_files(spark, d, tokenizer: str | None = None):
+    scratch = Scratch(spark, "op11")
+    path = f"{scratch.root}/files"
+    text = token_files.read_tokenizer(tokenizer or public_tokenizers.path("byte_bpe_50k.json"))
+    token_files.write_tokens(table(spark, d, "documents"), path, text, end_id=2)
+    return token_files.read_documents(spark, path, scratch)
+
+
+def op12_whitening(spark, d):
+    return whitening.whitened_rows(table(spark, d, "embeddings"))
+
+
+def op13_merkle_manifest(spark, d):
+    lower = F.translate("text", string.ascii_uppercase, string.ascii_lowercase)
+    tampered = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 0, F.lit(False))
+    fields = ["doc_id", "source", "lang", "n_chars"]
+    leaves = table(spark, d, "documents").select(
+        "doc_id", "lang", merkle.leaf_digest(*fields, F.col("text")).alias("leaf"),
+        F.when(tampered, merkle.leaf_digest(*fields, lower)).alias("claimed"))
+    return merkle.check_proofs(merkle.merkle_manifest(leaves, "lang", ["doc_id"]), "doc_id", "claimed")
+
+
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_mixing, op3_ngram_join, op4_sentencepiece, op5_embedding_dedup, op6_quality, op7_toxicity, op8_line_dedup, op9_chat_formatting, op10_secret_scan,
+                                  op11_token_files, op12_whitening, op13_merkle_manifest)}

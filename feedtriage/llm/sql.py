@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import string
+
 from feedtriage.llm.queries import MIX
 
 OP1 = r"""
@@ -157,5 +159,47 @@ def _mixing_sql(targets) -> str:
             .replace("{source}", names["source"]).replace("{lang}", names["lang"]))
 
 
+def _merkle_level(name: str, source: str, keys: str) -> str:
+    """Siblings before and after each node of one level, and the level above it."""
+    run = f"OVER (PARTITION BY {keys}, p // 8 ORDER BY p ROWS BETWEEN"
+    return f"""
+{name}s AS (
+  SELECT *, coalesce(string_agg(h, '') {run} UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+         coalesce(string_agg(h, '') {run} 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r FROM {source}),
+{name}n AS (
+  SELECT {keys}, p // 8 AS p, (n + 7) // 8 AS n, CASE WHEN n = 1 THEN min(h) ELSE sha256(string_agg(h, '' ORDER BY p)) END AS h
+  FROM {source} GROUP BY {keys}, p // 8, n)"""
+
+
+def _merkle(levels: int = 8, top: int = 4) -> str:
+    """Levels written out, enough for 8 ** levels rows of a language and 8 ** top languages."""
+    field = lambda c: f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen(CAST({c} AS VARCHAR)) || ':' || {c} END"
+    leaf = lambda text: f"sha256({' || '.join(field(c) for c in ('doc_id', 'source', 'lang', 'n_chars', text))})"
+    bits = "[(ascii(CAST(doc_id AS VARCHAR)[i // 8 + 1]) >> (i % 8)) & 1 for i in range(8 * len(CAST(doc_id AS VARCHAR)))]"
+    crc = f"xor(list_reduce({bits}, lambda c, b: xor(c >> 1, 3988292384 * (xor(c, b) & 1)), 4294967295), 4294967295)"
+    lower = f"translate(text, '{string.ascii_uppercase}', '{string.ascii_lowercase}')"
+    parts = [f"""
+d AS (
+  SELECT doc_id, lang, {leaf("text")} AS leaf, CASE WHEN {crc} % 3 = 0 THEN {leaf(lower)} END AS claimed,
+         row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS p, count(*) OVER (PARTITION BY lang) AS n
+  FROM documents),
+a0n AS (SELECT lang, p, n, leaf AS h FROM d)"""]
+    parts += [_merkle_level(f"a{k + 1}", f"a{k}n", "lang") for k in range(levels)]
+    parts.append(f"""
+b0n AS (SELECT 0 AS tree, lang, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS p, count(*) OVER () AS n, h FROM a{levels}n),
+c0 AS (SELECT d.doc_id, d.lang, d.leaf, d.p, b.p AS q, b.h AS subroot, coalesce(d.claimed, d.leaf) AS x, '' AS proof
+       FROM d JOIN b0n b ON d.lang IS NOT DISTINCT FROM b.lang)""")
+    parts += [_merkle_level(f"b{k + 1}", f"b{k}n", "tree") for k in range(top)]
+    for k in range(levels + top):
+        below, on = (f"a{k + 1}s", f"s.lang IS NOT DISTINCT FROM c.lang AND s.p = c.p // {8 ** k}") if k < levels else (f"b{k - levels + 1}s", f"s.p = c.q // {8 ** (k - levels)}")
+        parts.append(f"""
+c{k + 1} AS (
+  SELECT c.* REPLACE (CASE WHEN s.n = 1 THEN x ELSE sha256(s.l || x || s.r) END AS x, proof || s.l || s.r AS proof)
+  FROM c{k} c JOIN {below} s ON {on})""")
+    return "WITH " + ",".join(parts) + f"""
+SELECT doc_id, leaf, subroot, h AS root, sha256(proof) AS proof_sha256, x AS folded_root, x = h AS verified
+FROM c{levels + top}, b{top}n"""
+
+
 ORACLES = {"op1_exact_dedup": OP1, "op2_mixing": _mixing_sql(MIX), "op3_ngram_join": OP3, "op5_embedding_dedup": OP5,
-           "op9_chat_formatting": OP9, "op10_secret_scan": OP10}
+           "op9_chat_formatting": OP9, "op10_secret_scan": OP10, "op13_merkle_manifest": _merkle()}
