@@ -12,6 +12,8 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, functions as F
 
 from feedtriage.functions import text as X
+from feedtriage.operators.running import newest_before
+from feedtriage.scratch import Scratch
 
 
 def distinct_cves(c: Column) -> Column:
@@ -61,6 +63,27 @@ def candidate_records(seen: DataFrame, accepted: DataFrame, run_ts: datetime | C
     return recent_records(seen, run_ts, window_days).select(*pending.columns).unionByName(pending)
 
 
+def identity_blocks(df: DataFrame, *keep: str) -> DataFrame:
+    """``keep`` columns and block: one row for each CVE id and for the key of a row."""
+    cves = F.transform(distinct_cves(F.col("cve_ids")), lambda c: F.concat(F.lit("c:"), c))
+    key = F.filter(F.array(F.concat(F.lit("k:"), F.nullif("canonical_key", F.lit("")))), lambda k: k.isNotNull())
+    return df.select(*keep, F.explode(F.concat(cves, key)).alias("block"))
+
+
+def window_candidates(item_blocks: DataFrame, record_blocks: DataFrame, hours: float, scratch: Scratch) -> DataFrame:
+    """(seq, block, id, record_at): for each item and block the newest record of the block
+    in the ``hours`` up to the item's time, both ends included.
+
+    item_blocks(seq, at, block), record_blocks(id, at, block). Of records of one time the
+    highest id counts. Items without a time, or without such a record, have no row. A block
+    and a stretch of time may hold any number of rows: they are dealt by ranges of time.
+    """
+    items = item_blocks.where(F.col("at").isNotNull()).select("block", "seq", "at").distinct()
+    found = newest_before(items, record_blocks.where(F.col("id").isNotNull()).select("block", "id", "at").distinct(), ["block"], scratch)
+    start = F.col("at") - F.make_dt_interval(secs=F.lit(hours * 3600).cast("decimal(18,6)"))
+    return found.where(F.col("record_at") >= start).select("seq", "block", "id", "record_at")
+
+
 def recent_key_match(items: DataFrame, seen: DataFrame, run_ts: datetime | Column,
                      window_days: int) -> DataFrame:
     """(seq, record_id): newest recent record with the same non-empty key."""

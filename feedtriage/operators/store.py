@@ -107,6 +107,11 @@ def commit_batch(spark: SparkSession, root: str, batch: str, records: DataFrame,
     """Write one batch; readers see it only after its commit row."""
     backfills.write.mode("overwrite").parquet(f"{root}/backfills/batch={batch}")
     records.write.mode("overwrite").parquet(f"{root}/records/batch={batch}")
+    write_commit(spark, root, batch, run_ts)
+
+
+def write_commit(spark: SparkSession, root: str, batch: str, run_ts: datetime) -> None:
+    """The row that makes a batch count."""
     stamp = spark.createDataFrame([(run_ts,)], "run_ts timestamp").coalesce(1)
     stamp.write.mode("overwrite").parquet(f"{root}/commits/batch={batch}")
 

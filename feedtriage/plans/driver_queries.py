@@ -11,6 +11,7 @@ from feedtriage.operators import classify, dedup, feed, filters, funnel, matchin
 from feedtriage.operators.numbering import dense_index
 from feedtriage.plans import driver_tables as T
 from feedtriage.plans.config import JobConfig, SourceConfig
+from feedtriage.plans.match_queries import QUERIES as MATCH_QUERIES
 from feedtriage.plans.job import RunResult, run
 from feedtriage.scratch import Scratch
 from feedtriage.sources import advisories, kev, registry, rss
@@ -526,4 +527,4 @@ QUERIES = {f.__name__: f for f in (
     cve_backfill, store_append_ids, latest_n, report_rows, report_empty, report_size,
     outbox, primary_urls, feed_entries, feed_updated, feed_document, fetch_counts,
     windowed_source_counts, windowed_source_counts_stream, triage_run, triage_report,
-    funnel_by_source)}
+    funnel_by_source)} | MATCH_QUERIES
