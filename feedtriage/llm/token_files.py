@@ -11,8 +11,12 @@ the sizes of documents. A block is decoded alone, given the table.
 
 from __future__ import annotations
 
-import re
+import functools
+import json
+import sys
+import unicodedata
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,33 +31,110 @@ from feedtriage.llm.rans import Table, crc_of_parts
 from feedtriage.scratch import Scratch
 
 #: Ids of a block; blocks coded side by side; words a task remembers.
-BLOCK, TOGETHER, WORDS = 1 << 16, 32, 500_000
+BLOCK, TOGETHER, WORDS = 1 << 16, 32, 300_000
 
-#: No token of a byte-level tokenizer spans the end of a word and the white space after it.
-_WORD_END = re.compile(r"(?<=[!-~\w])(?=\s)")
+#: Kinds of characters: white space of ASCII, letters and digits, other visible ones, and
+#: all that tokenizers may see in another way.
+_WHITE, _WORD, _SIGN, _UNSURE = 3, 2, 1, 0
+
+
+@functools.lru_cache(maxsize=1)
+def _kinds() -> np.ndarray:
+    unsure = ("Cn", "Cc", "Cf", "Cs", "Co", "Zs", "Zl", "Zp")
+    kind = lambda c: _WHITE if c in " \t\n\r" else _WORD if c.isalnum() else _UNSURE if unicodedata.category(c) in unsure else _SIGN
+    return np.array([kind(chr(c)) for c in range(1 << 16)] + [_UNSURE], np.uint8)
+
+
+def word_ends(texts: list[str]) -> tuple[str, list[int], list[int]]:
+    """(joined, cuts, firsts): all texts in one, the places where a word begins, and of each
+    text the number of its first cut; then the end and the number of cuts.
+
+    No token of a byte-level tokenizer spans the end of a letter or sign before white space,
+    nor that of a letter before a sign.
+    """
+    joined = "".join(texts)
+    codes = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
+    kind = _kinds()[np.minimum(codes, 1 << 16)]
+    before, here = kind[:-1], kind[1:]
+    cut = np.ones(len(codes), bool)
+    cut[1:] = ((here == _WHITE) & ((before == _WORD) | (before == _SIGN))) | ((here == _SIGN) & (before == _WORD))
+    starts = np.cumsum([0] + [len(t) for t in texts])
+    cut[starts[starts < len(codes)]] = True
+    cuts = np.flatnonzero(cut)
+    return joined, [*cuts.tolist(), len(joined)], np.searchsorted(cuts, starts).tolist()
+
+
+def byte_alphabet() -> dict[int, int]:
+    """The character that byte-level tokenizers write for each byte: the byte's own if it is
+    printable, else one of those from 256 on, in order."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in printable]
+    return dict(zip(printable, printable)) | {b: 256 + k for k, b in enumerate(rest)}
 
 
 class WordEncoder:
-    """Encodes texts with a byte-level tokenizer of the tokenizers library, word by word:
-    what the library gave for a word (with the white space before it) is kept for the next."""
+    """Encodes texts with a byte-level tokenizer of the tokenizers library, word by word.
+
+    What the library gave for a word, with the white space before it, is kept for the next
+    time; words that do not come up again are forgotten after WORDS others. A plain word goes
+    to the library's model at once, as the pre-tokenizer would not part it. All else goes
+    through the whole tokenizer. Tokenizers of another kind encode whole texts.
+    """
 
     def __init__(self, tokenizer: str, specials_are_text: bool = True):
         from tokenizers import Tokenizer
         self.lib = Tokenizer.from_str(tokenizer)
         self.lib.encode_special_tokens = specials_are_text
-        self.known: dict[str, bytes] = {}
+        self.model, self.alphabet = self.lib.model, byte_alphabet()
+        self.known, self.older = {}, {}
+        spec = json.loads(tokenizer)
+        before = spec.get("pre_tokenizer") or {}
+        self.by_words = (spec.get("normalizer") is None and before.get("type") == "ByteLevel" and before.get("use_regex", True)
+                         and not before.get("add_prefix_space", True))
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit integers."""
-        split = [_WORD_END.split(t) for t in texts]
-        new = list(set().union(*split) - self.known.keys())
-        if len(self.known) + len(new) > WORDS:
-            self.known.clear()
-            new = list(set().union(*split))
-        for word, found in zip(new, self.lib.encode_batch_fast(new, add_special_tokens=False)):
-            self.known[word] = np.array(found.ids, "<u4").tobytes()
-        get = self.known.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+        if not self.by_words:
+            return [_id_bytes(e.ids) for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
+        joined, cuts, firsts = word_ends(texts)
+        words = [joined[a:b] for a, b in zip(cuts, cuts[1:])]
+        found = list(map(self.known.get, words))
+        out = []
+        for first, last in zip(firsts, firsts[1:]):
+            own = found[first:last]
+            if None in own:
+                own = [self.known.get(w) or self.word(w) if f is None else f for w, f in zip(words[first:last], own)]
+                if len(self.known) > WORDS:
+                    self.known, self.older = {}, self.known
+            out.append(b"".join(own))
+        return out
+
+    def word(self, word: str) -> bytes:
+        """Ids of a word that is not in ``known``, where it is from now on."""
+        found = self.older.get(word)
+        if found is None:
+            if (word[1:] if word[:1] == " " else word).isalpha():
+                mapped = word.replace(" ", chr(self.alphabet[0x20])) if word.isascii() else word.encode().decode("latin-1").translate(self.alphabet)
+                found = _id_bytes([t.id for t in self.model.tokenize(mapped)])
+            elif len(word) > 1 and word[0] == "\n" and word[1:].isalpha():
+                found = b"".join([self.known.get(p) or self.word(p) for p in ("\n", word[1:])])
+            else:
+                found = _id_bytes(self.lib.encode(word, add_special_tokens=False).ids)
+        self.known[word] = found
+        return found
+
+
+def _id_bytes(ids: list[int]) -> bytes:
+    out = array("I", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
+
+
+@functools.lru_cache(maxsize=2)
+def word_encoder(tokenizer: str) -> WordEncoder:
+    """One a Python process, so tasks that follow each other share what is known."""
+    return WordEncoder(tokenizer)
 
 
 def read_tokenizer(path: str) -> str:
@@ -61,46 +142,48 @@ def read_tokenizer(path: str) -> str:
         return file.read()
 
 
-def _pack(ids: bytes) -> bytes:
-    """32-bit ids, compressed for the shuffle: the low halves, then the high ones."""
-    return zstandard.ZstdCompressor(level=1).compress(np.frombuffer(ids, "<u2").reshape(-1, 2).T.tobytes())
+class Packing:
+    """Ids of a document as compressed bytes, for the shuffle: in 16 bits each where the
+    vocabulary fits."""
 
+    def __init__(self, vocabulary: int):
+        self.kind = np.dtype("<u2" if vocabulary <= 1 << 16 else "<u4")
+        self.packer, self.opener = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
 
-def _unpack(packed: bytes) -> np.ndarray:
-    halves = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), "<u2").reshape(2, -1)
-    return halves[0].astype(np.uint32) | halves[1].astype(np.uint32) << 16
+    def pack(self, ids: np.ndarray) -> bytes:
+        return self.packer.compress(ids.astype(self.kind).tobytes())
 
+    def unpack(self, packed: bytes) -> np.ndarray:
+        return np.frombuffer(self.opener.decompress(packed), self.kind)
 
-def _tokenised(docs: DataFrame, tokenizer: str, end_id: int, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, n and packed ids of each row, with the end id."""
+
+def _tokenised(docs: DataFrame, tokenizer: str, vocabulary: int, end_id: int, id_col: str, text_col: str) -> DataFrame:
+    """doc_id and packed ids of each row, with the end id; and from each task a row without
+    ids that counts them: seen, times."""
     shared = docs.sparkSession.sparkContext.broadcast(tokenizer)  # the size of one tokenizer file
-    kind = docs.schema[id_col].dataType.simpleString()
+    kind = docs.schema[id_col].dataType
+    schema = pa.schema([("doc_id", to_arrow_type(kind)), ("ids", pa.binary()), ("seen", pa.list_(pa.int64())), ("times", pa.list_(pa.int64()))])
 
     def run(batches):
-        codec, end = WordEncoder(shared.value), np.array([end_id], "<u4").tobytes()
+        codec, packing = word_encoder(shared.value), Packing(vocabulary)
+        end, total = np.array([end_id], "<u4").tobytes(), np.zeros(vocabulary, np.int64)
         for batch, texts in text_batches(batches, "text"):
-            ids = [x + end for x in codec.encode_all(texts)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(x) // 4 for x in ids], pa.int64()),
-                                              pa.array([_pack(x) for x in ids], pa.binary())], ["doc_id", "n", "ids"])
+            ids = [np.frombuffer(x + end, "<u4") for x in codec.encode_all(texts)]
+            total += np.bincount(np.concatenate(ids), minlength=vocabulary)
+            none = pa.nulls(len(ids), schema.field("seen").type)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([packing.pack(x) for x in ids], pa.binary()), none, none], schema=schema)
+        seen = np.flatnonzero(total)
+        yield pa.RecordBatch.from_pylist([{"seen": seen, "times": total[seen]}], schema)
 
     rows = docs.selectExpr(f"`{id_col}` as doc_id", f"`{text_col}` as text")
-    return rows.mapInArrow(run, f"doc_id {kind}, n long, ids binary").withColumn("row", F.monotonically_increasing_id())
+    return (rows.mapInArrow(run, f"doc_id {kind.simpleString()}, ids binary, seen array<long>, times array<long>")
+            .withColumn("row", F.monotonically_increasing_id()))
 
 
 def _frequencies(encoded: DataFrame) -> Table:
     """Of all ids; there are as many rows as the vocabulary has ids."""
-    def run(batches):
-        total = np.zeros(0, np.int64)
-        for batch in batches:
-            for packed in batch.column("ids"):
-                found = np.bincount(_unpack(packed.as_py()))
-                if len(found) > len(total):
-                    total = np.append(total, np.zeros(len(found) - len(total), np.int64))
-                total[:len(found)] += found
-        ids = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(total[ids], pa.int64())], ["id", "n"])
-
-    found = encoded.select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow().sort_by("id")
+    each = encoded.where("ids is null").select(F.explode(F.arrays_zip("seen", "times")).alias("x")).select("x.*")
+    found = each.groupBy(F.col("seen").alias("id")).agg(F.sum("times").alias("n")).toArrow().sort_by("id")
     return Table.of_counts(found.column("id").to_numpy(), found.column("n").to_numpy())
 
 
@@ -143,7 +226,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, id
     spark = docs.sparkSession
     scratch = Scratch(spark, "tokens")
     kind = docs.schema[id_col].dataType
-    encoded = scratch.save(_tokenised(docs, tokenizer, end_id, id_col, text_col), "ids")
+    vocabulary = max(WordEncoder(tokenizer).lib.get_vocab_size(), end_id + 1)
+    encoded = scratch.save(_tokenised(docs, tokenizer, vocabulary, end_id, id_col, text_col), "ids")
     table = _frequencies(encoded)
     rows = list(zip(table.ids.tolist(), table.freq.tolist()))
     spark.createDataFrame(rows, "id long, freq long").coalesce(1).write.parquet(f"{path}/table")
@@ -157,10 +241,10 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, id
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows), fields)], [name for name, _ in fields])
 
     def run(batches):
-        cutter, full = _Cutter(block), []
+        cutter, full, packing = _Cutter(block), [], Packing(vocabulary)
         for batch in batches:
             for doc_id, packed in zip(batch.column("doc_id").to_pylist(), batch.column("ids")):
-                for cut in cutter.add(doc_id, _unpack(packed.as_py())):
+                for cut in cutter.add(doc_id, packing.unpack(packed.as_py())):
                     full.append(cut)
                     if len(full) == TOGETHER:
                         yield coded(full)
@@ -171,7 +255,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, id
             yield coded(full)
 
     order = ["doc_id", "row"]  # row makes the order total, so rows of one id can be dealt to several tasks
-    ordered = encoded.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "ids")
+    ordered = encoded.where("ids is not null").select("doc_id", "row", "ids").repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "ids")
     blocks = f"{path}/blocks"
     ordered.mapInArrow(run, f"shard int, block int, first long, n long, doc_ids array<{kind.simpleString()}>, doc_sizes array<long>, began long, goes_on boolean, payload binary").write.parquet(blocks)
     sizes = spark.read.parquet(blocks).groupBy("shard").agg(F.sum("n").alias("n"))  # one row a task
