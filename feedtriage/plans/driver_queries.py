@@ -92,22 +92,26 @@ def rss_source(spark, d):
 
 
 def rss_partly_broken(spark, d):
-    """Feeds with an entity that XML does not know, every third one cut off in an entry."""
+    """Feeds that are not well formed: entities that XML does not know, lone ampersands and
+    brackets, prefixes nobody declared, CDATA that looks like markup, and every third one cut
+    off in an entry."""
     docs = T.table(spark, d, "documents")
     link = lambda part: F.concat(F.lit("https://feeds.example/"), F.col("doc_id").cast("string"), F.lit(part))
-    item = lambda part, text: F.concat(
+    item = lambda part, text, rest="": F.concat(
         F.lit(f"<item><title>{text}</title><pubDate>Tue, 02 Jan 2024 10:00:00 GMT</pubDate><link>"), link(part),
-        F.lit("</link></item>"))
+        F.lit(f"</link>{rest}</item>"))
     body = F.concat(
-        F.lit('<?xml version="1.0"?><rss version="2.0"><channel><title>c</title>'), item("/a", "one"),
-        item("/b", "fish&nbsp;&copy; & chips"),
+        F.lit('<?xml version="1.0"?><rss version="2.0"><channel><title>c</title>'),
+        item("/a", "<![CDATA[AT&T & co]]>", "<description><![CDATA[an <item>n</item> &amp; more]]></description>"),
+        item("/b", "fish&nbsp;&copy; & chips &lt; 3 < 4 &#8364;&#1;", '<!-- <item> --><media:thumbnail url="x"/><dc:creator>me</dc:creator>'),
         F.when(F.col("doc_id") % 3 == 0, F.lit("<item><title>cut")).otherwise(
             F.concat(item("/c", "three"), F.lit("</channel></rss>"))))
     raw = docs.select("source", F.col("doc_id").cast("int").alias("page_ord"), F.lit(T.RUN_TS).alias("fetched_at"),
                       body.alias("body"))
-    kept = rss.rss_articles(raw, SINCE, T.RUN_TS).select("page_ord", "entry_ord", "url", F.lit(None).cast("string").alias("error"))
-    lost = rss.rss_errors(raw).select("page_ord", F.lit(None).cast("int").alias("entry_ord"),
-                                      F.lit(None).cast("string").alias("url"), "error")
+    none = F.lit(None).cast("string")
+    kept = rss.rss_articles(raw, SINCE, T.RUN_TS).select("page_ord", "entry_ord", "url", "title", "summary", none.alias("error"))
+    lost = rss.rss_errors(raw).select("page_ord", F.lit(None).cast("int").alias("entry_ord"), none.alias("url"),
+                                      none.alias("title"), none.alias("summary"), "error")
     return kept.unionByName(lost)
 
 

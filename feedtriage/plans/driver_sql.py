@@ -311,9 +311,11 @@ ORACLES = {
         WHERE stopped = 0 AND known IS NOT NULL""",
     "enabled_category": _WITH(_ITEMS) + "SELECT seq, category FROM items WHERE category = 'red_team'",
     "rss_partly_broken": """SELECT CAST(doc_id AS INT) AS page_ord, CAST(e AS INT) AS entry_ord,
-        'https://feeds.example/' || doc_id || ['/a', '/b', '/c'][e + 1] AS url, NULL::VARCHAR AS error
+        'https://feeds.example/' || doc_id || ['/a', '/b', '/c'][e + 1] AS url,
+        ['AT&T & co', 'fish © & chips < 3 < 4 €', 'three'][e + 1] AS title,
+        CASE e WHEN 0 THEN 'an n &amp; more' ELSE '' END AS summary, NULL::VARCHAR AS error
         FROM documents, range(3) AS r(e) WHERE e < 2 OR doc_id % 3 <> 0
-        UNION ALL SELECT CAST(doc_id AS INT), NULL, NULL, '1 entries could not be parsed' FROM documents WHERE doc_id % 3 = 0""",
+        UNION ALL SELECT CAST(doc_id AS INT), NULL, NULL, NULL, NULL, '1 entries could not be parsed' FROM documents WHERE doc_id % 3 = 0""",
     "advisory_two_fetches": """SELECT o_orderpriority AS source, CAST(o_orderkey AS INT) AS page_ord,
         'https://orders.example/' || o_orderkey AS url FROM (
           SELECT *, min(CASE WHEN o_orderkey % 2 = 1 AND o_orderkey > 3000 AND o_orderkey % 101 = 0 THEN o_orderkey END)
