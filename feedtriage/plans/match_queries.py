@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from feedtriage.operators import matching, pair_model, similarity
+from feedtriage.operators import dedup, matching, pair_model, similarity
+from feedtriage.operators.indexed_store import IndexedStore
 from feedtriage.plans import driver_tables as T
 from feedtriage.scratch import Scratch
 
@@ -70,4 +71,30 @@ def model_pairs(spark, d):
     return found.select("seq", "record_id")
 
 
-QUERIES = {f.__name__: f for f in (jaccard_pairs, cosine_pairs, dedup_similar_texts, window_candidates, model_pairs)}
+def _levels(spark, d, scratch):
+    """The pages as a store of many batches, merged in levels; the last batch adds each record's
+    number as a CVE id to the record before."""
+    levels = IndexedStore(spark, f"{scratch.root}/levels", fanout=3)
+    records, none = scratch.save(T.page_records(spark, d), "records"), spark.createDataFrame([], "id long, cve string")
+    last = records.agg(F.max("id")).first()[0]
+    for k in range(7):
+        levels.append(f"b{k}", records.where((F.col("id") > k * last // 7) & (F.col("id") <= (k + 1) * last // 7)), none)
+    added = records.select((F.col("id") - 1).alias("id"), F.concat(F.lit("cve-2023-"), (F.col("id") + 10000).cast("string")).alias("cve"))
+    levels.append("added", records.limit(0), added.where("id > 0"))
+    return levels
+
+
+def store_levels(spark, d):
+    """All records of the store in levels, with the ids added to them."""
+    rows = _levels(spark, d, Scratch(spark, "levels")).seen()
+    return rows.select("id", "canonical_key", F.array_join("cve_ids", ",").alias("cves"), "url", T.clock(F.col("first_seen_at")).alias("first_seen_at"))
+
+
+def store_index_dedup(spark, d):
+    """Decisions by the index of the store in levels."""
+    scratch = Scratch(spark, "index")
+    return dedup.match_store(T.document_items(spark, d), index=_levels(spark, d, scratch), scratch=scratch)
+
+
+QUERIES = {f.__name__: f for f in (jaccard_pairs, cosine_pairs, dedup_similar_texts, window_candidates, model_pairs,
+                                  store_levels, store_index_dedup)}

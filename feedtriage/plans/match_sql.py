@@ -39,6 +39,21 @@ near AS (
   GROUP BY i.seq, i.block)"""
 
 
+# Each record has the number of the next one as a further CVE id.
+_SEEN_ADDED = _SEEN.replace(
+    "['CVE-2024-' || (CAST(number AS BIGINT) + 10000)] AS cve_ids",
+    """list_sort(list_distinct(list_concat(['CVE-2024-' || (CAST(number AS BIGINT) + 10000)],
+         CASE WHEN page_id + 1 < (SELECT count(*) FROM pages) THEN ['CVE-2023-' || (page_id + 10002)] ELSE [] END))) AS cve_ids""")
+
+
+def _index_dedup() -> str:
+    sql = _dedup("items", store=True, visible=False)
+    assert _SEEN in sql
+    sql = sql.replace(_SEEN, _SEEN_ADDED)
+    # decisions from the store alone: no item of the batch claims a token
+    return sql.replace("CASE WHEN reason = '' THEN list_concat(claimed", "CASE WHEN false THEN list_concat(claimed")
+
+
 def _dedup_alike() -> str:
     """The sequential rules with all similar earlier texts as links, and no store."""
     sql = _dedup("items", store=False, visible=False, pairs=True, final="SELECT seq, reason <> '' AS is_duplicate, reason FROM steps WHERE rn > 0")
@@ -54,6 +69,9 @@ SELECT doc_id, least(doc_id, coalesce((SELECT min(b) FROM alike WHERE a = doc_id
 SELECT vec_id, least(vec_id, coalesce(b, vec_id)) AS group_id FROM embeddings LEFT JOIN lowest ON a = vec_id""",
     "dedup_similar_texts": _dedup_alike(),
     "window_candidates": _WITH(_ITEMS, _SEEN, _BLOCKS) + f"SELECT seq, block, id, {_clock('record_at')} AS record_at FROM near",
+    "store_levels": _WITH(_SEEN_ADDED) + f"""SELECT id, canonical_key, array_to_string(cve_ids, ',') AS cves, url,
+        {_clock('first_seen_at')} AS first_seen_at FROM seen""",
+    "store_index_dedup": _index_dedup(),
     "model_pairs": _WITH(_ITEMS, _SEEN, _BLOCKS) + """SELECT DISTINCT n.seq, n.id AS record_id
         FROM near n JOIN items i USING (seq) JOIN seen s ON s.id = n.id
         WHERE split_part(i.title, ' ', 1) = split_part(s.title, ' ', 1)""",
