@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from feedtriage.functions import text as X
 from feedtriage.operators.dedup import greedy_dedup
 from feedtriage.scratch import Scratch
 
@@ -219,6 +220,25 @@ def _two_sides(items: DataFrame, candidates: DataFrame | None, column: str) -> D
     return rows.where(F.col("id").isNotNull())
 
 
+def maybe_among(keys: DataFrame, columns: list[str], most_bits: int = 1 << 24) -> Column:
+    """False only for rows whose columns are not in ``keys``, a saved table: a Bloom filter of
+    sixteen bits a key, which goes to the tasks as one constant of ``most_bits`` / 8 bytes at
+    most. It keeps wide rows out of the shuffle of a join; with more keys it keeps out fewer.
+    """
+    bits = 1 << min(most_bits.bit_length() - 1, max(10, (16 * keys.n_rows).bit_length()))
+    places = [F.pmod(F.xxhash64(F.lit(k), *columns), F.lit(bits)) for k in range(2)]
+    set_bits = (keys.select(F.explode(F.array(*places)).alias("p")).groupBy(F.floor(F.col("p") / 8).alias("byte"))
+                .agg(F.bit_or(F.call_function("shiftleft", F.lit(1), (F.col("p") % 8).cast("int"))).alias("value")).toArrow())
+    table = np.zeros(bits // 8, np.uint8)
+    table[set_bits.column("byte").to_numpy()] = set_bits.column("value").to_numpy()
+    constant = F.lit(table.tobytes())
+    byte = lambda p: F.conv(F.hex(F.substring(constant, F.floor(p / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    out = F.lit(True)
+    for p in places:
+        out = out & (F.call_function("getbit", byte(p), (p % 8).cast("int")) == 1)
+    return out
+
+
 class Blocked:
     """Rows that are blocked once and linked as often as needed.
 
@@ -282,7 +302,9 @@ class Texts(Blocked):
         pairs = self.scratch.save(pairs.join(theirs, ["side", "other"]).join(mine, "id").where(fits), "fitting")
         # sets are made again, of the rows that are in a pair only
         ends = (pairs.select(F.lit(ITEM).alias("side"), "id").unionByName(pairs.select("side", F.col("other").alias("id"))).distinct())
-        sets = self.scratch.save(text_sets(self.texts.join(ends, ["side", "id"], "left_semi"), "content", self.n), "sets")
+        ends = self.scratch.save(ends, "ends")
+        texts = self.texts.where(maybe_among(ends, ["side", "id"])).join(ends, ["side", "id"], "left_semi")
+        sets = self.scratch.save(text_sets(texts, "content", self.n), "sets")
         theirs = sets.select("side", F.col("id").alias("other"), F.col("tokens").alias("other_tokens"))
         mine = sets.where(F.col("side") == ITEM).select("id", "tokens")
         common = F.size(F.array_intersect("tokens", "other_tokens"))
@@ -353,6 +375,12 @@ def similar_pairs(items: DataFrame, candidates: DataFrame | None = None, method:
     return as_pairs(*blocked(items, candidates, method, column, threshold, scratch).links())
 
 
+def similar_articles(items: DataFrame, seen: DataFrame) -> DataFrame:
+    """pairs of items and records whose titles and texts are similar; a job's ``Models.similar``."""
+    whole = lambda df, key, text: df.select(key, X.article_text(F.col("title"), F.col(text)).alias("text"))
+    return similar_pairs(whole(items, "seq", "summary"), whole(seen, "id", "description"))
+
+
 def dedup_similar(items: DataFrame, seen: DataFrame | None = None, candidates: DataFrame | None = None, method: str = "jaccard",
                   column: str | None = None, threshold: float | None = None, scratch: Scratch | None = None, **options) -> DataFrame:
     """``greedy_dedup`` with similar items as its third layer.

@@ -3,12 +3,13 @@ from pyspark.sql import SparkSession
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     builder = (SparkSession.builder.master("local[8]").appName("feedtriage-tests")
                .config("spark.ui.enabled", "false")
                .config("spark.ui.showConsoleProgress", "false")
                .config("spark.sql.session.timeZone", "UTC")
                .config("spark.driver.memory", "8g")
+               .config("spark.checkpoint.dir", str(tmp_path_factory.mktemp("shared")))
                .config("spark.sql.shuffle.partitions", "4"))
     session = builder.getOrCreate()
     session.sparkContext.setLogLevel("ERROR")

@@ -3,6 +3,8 @@ from datetime import datetime, timedelta, timezone
 import pytest
 
 from feedtriage.operators import store
+from feedtriage.operators.indexed_store import IndexedStore
+from feedtriage.operators.similarity import similar_articles
 from feedtriage.plans.config import ConfigError, FeedConfig, JobConfig, SourceConfig, config_from_dict
 from feedtriage.plans.job import Models, commit, outbox_rows, run
 from feedtriage.schema import RAW
@@ -67,6 +69,32 @@ def test_end_to_end(spark, tmp_path):
     assert cves["Beacon tricks"] == ["CVE-2026-7777"]
 
 
+def test_store_in_levels_decides_as_the_plain_store(spark, tmp_path):
+    cfg = config(tmp_path, feed=FeedConfig(enabled=True, path=str(tmp_path / "atom.xml")))
+    levels = IndexedStore(spark, str(tmp_path / "levels"), fanout=2)
+    later = (("a", channel(item("Acme again CVE-2026-1111 CVE-2026-2222", "https://x/9", NOW), item("New flaw", "https://x/10", NOW))),
+             ("b", channel(item("Beacon tricks", "https://x/11", NOW), item("Exploit CVE-2026-2222", "https://x/12", NOW))))
+    for batch, bodies in enumerate((BODIES, later)):
+        raw = spark.createDataFrame(feed_rows(*bodies), RAW)
+        plain, own = run(spark, cfg, raw, NOW), run(spark, cfg, raw, NOW, index=levels)
+        assert sorted(map(tuple, plain.decisions.collect())) == sorted(map(tuple, own.decisions.collect()))
+        assert commit(spark, plain, str(batch)) and commit(spark, own, str(batch)) and not commit(spark, own, str(batch))
+    rows = lambda df: sorted(map(str, df.collect()))
+    assert rows(levels.seen()) == rows(store.read_seen(spark, cfg.store_path))
+
+
+def test_similar_articles_as_the_semantic_layer(spark, tmp_path):
+    body = "Beacon tricks " + " ".join(f"word{i}" for i in range(60))
+    cfg = config(tmp_path)
+    raw = lambda *items: spark.createDataFrame(feed_rows(("b", channel(*items))), RAW)
+    first = run(spark, cfg, raw(item("One flaw", "https://x/1", NOW, body), item("Two flaw", "https://x/2", NOW, body + " end")), NOW,
+                models=Models(similar=similar_articles))
+    assert sorted(r.reason for r in first.decisions.collect()) == ["", "layer3:semantic"]
+    commit(spark, first, "0")
+    second = run(spark, cfg, raw(item("One flaw", "https://x/3", NOW, body + " more")), NOW, models=Models(similar=similar_articles))
+    assert [(r.reason, r.matched_record_id) for r in second.decisions.collect()] in ([("layer3:semantic", 1)], [("layer2:canonical-key", 1)])
+
+
 def test_models(spark, tmp_path):
     def classify():
         def fn(prompts):

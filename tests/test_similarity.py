@@ -159,6 +159,15 @@ def test_no_vectors(spark):
     assert S.similar_pairs(spark.createDataFrame([], "seq long, embedding array<double>"), method="cosine").count() == 0
 
 
+def test_the_filter_of_keys_loses_none(spark):
+    keys = Scratch(spark, "t").save(spark.range(0, 50_000, 7).withColumn("side", F.lit(0)), "keys")
+    rows = spark.range(50_000).withColumn("side", F.lit(0)).where(S.maybe_among(keys, ["side", "id"]))
+    kept = {r.id for r in rows.collect()}
+    assert kept >= set(range(0, 50_000, 7)) and len(kept) < 50_000 / 7 * 1.5
+    few = {r.id for r in spark.range(50_000).withColumn("side", F.lit(0)).where(S.maybe_among(keys, ["side", "id"], 1 << 10)).collect()}
+    assert few >= set(range(0, 50_000, 7))
+
+
 def test_running_value_over_ranges(spark):
     rng = random.Random(6)
     rows = [(rng.choice(["a", "a", "a", "b", None]), i, rng.choice([None, rng.randrange(100)])) for i in range(3000)]
