@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from feedtriage.functions import text as X
+from feedtriage.operators.running import running_count
+from feedtriage.scratch import Scratch
 
 ModelFn = Callable[[list[str]], list[str | None]]
 
@@ -74,24 +76,32 @@ def candidate_line(c: str = "") -> Column:
                     X.or_empty(col("description")))
 
 
-def candidate_blocks(links: DataFrame, seen: DataFrame, page_lines: int = 200) -> DataFrame:
+def candidate_blocks(links: DataFrame, seen: DataFrame, page_lines: int = 200,
+                     scratch: Scratch | None = None) -> DataFrame:
     """Candidate lines per item, newest first, from ``links(seq, id)``.
 
-    Every linked record is shown. Long lists are spread over several pages of
-    about ``page_lines`` lines, so no group grows with the data.
+    Every linked record is shown. A long list goes on over pages of ``page_lines`` lines:
+    page 0 holds the newest records, page 1 the next. Places in a list are counted along
+    ranges, so no list is one task's. Records without a time come last.
     """
-    sizes = links.groupBy("seq").agg(F.count(F.lit(1)).alias("_n"))
-    pages = F.greatest(F.lit(1), F.ceil(F.col("_n") / F.lit(page_lines))).cast("int")
-    page = F.pmod(F.xxhash64("id"), pages).cast("int")
-    rows = links.join(sizes, "seq").withColumn("page", page).join(seen, "id")
-    newest_first = F.struct((-F.unix_micros("first_seen_at")).alias("age"),
-                            (-F.col("id")).alias("rid"), candidate_line().alias("line"))
-    grouped = rows.groupBy("seq", "page").agg(F.array_sort(F.collect_list(newest_first)).alias("l"))
+    scratch = scratch or Scratch(links.sparkSession, "blocks")
+    age = F.coalesce(-F.unix_micros("first_seen_at"), F.lit(2 ** 63 - 1)).alias("age")
+    placed = links.select("seq", "id").join(seen.select("id", age, (-F.col("id")).alias("rid")), "id")
+    placed = running_count(placed, ["seq"], ["age", "rid"], "place", scratch)
+    rows = (placed.withColumn("page", F.floor(F.col("place") / page_lines).cast("int"))
+            .join(seen.select("id", candidate_line().alias("line")), "id"))
+    grouped = rows.groupBy("seq", "page").agg(F.array_sort(F.collect_list(F.struct("place", "rid", "line"))).alias("l"))
     return grouped.select("seq", "page",
                           F.array_join(F.transform("l", lambda x: x["line"]), "\n").alias("block"),
                           F.transform("l", lambda x: -x["rid"]).alias("candidate_ids"))
 
 
+def first_answer(answers: DataFrame, match_col: str = "match_id") -> DataFrame:
+    """(seq, match_col): of the answers on an item's pages the first page's that names a
+    record, thus the one among the newest; null if none does."""
+    return answers.groupBy("seq").agg(F.min_by(match_col, F.when(F.col(match_col).isNotNull(), F.col("page"))).alias(match_col))
+
+
 def match_prompts(items: DataFrame, blocks: DataFrame) -> DataFrame:
     """The new item followed by its candidate block, one row per page."""
     prompt = F.concat(

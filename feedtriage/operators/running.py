@@ -43,6 +43,13 @@ def running_value(df: DataFrame, keys: list[str], order: list[str], value: str,
             .select(*df.columns, name))
 
 
+def running_count(df: DataFrame, keys: list[str], order: list[str], name: str, scratch: Scratch) -> DataFrame:
+    """Add ``name``: how many rows of its group come before a row."""
+    ones = df.withColumn("_one", F.lit(1).cast("long"))
+    both = lambda own, carried: F.coalesce(own, F.lit(0)) + F.coalesce(carried, F.lit(0))
+    return running_value(ones, keys, order, "_one", name, scratch, F.sum, both).drop("_one")
+
+
 def newest_before(items: DataFrame, records: DataFrame, keys: list[str], scratch: Scratch) -> DataFrame:
     """items(keys, seq, at) with the newest of records(keys, id, at) at or before an item's
     time: ``id`` and ``record_at``, null without one. Of records of one time the highest id

@@ -9,8 +9,9 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from feedtriage.plans.config import SourceConfig
+from feedtriage.functions import text as X
 from feedtriage.schema import SOURCES
-from feedtriage.sources import advisories, kev, rss
+from feedtriage.sources import advisories, kev, plugin, rss
 
 # type -> (entries(raw, since, run_ts), errors(raw)). ``raw`` carries the source's
 # configuration in the columns ``options`` and ``source_ord``.
@@ -22,6 +23,28 @@ def register_source(kind: str, entries: EntryFn, errors: Callable[[DataFrame], D
     _REGISTRY[kind] = (entries, errors)
 
 
+#: Kinds written in Python: their sources name the folder of their files in ``options["path"]``.
+_PLUGINS: dict[str, plugin.Parse] = {}
+
+
+def register_plugin(kind: str, parse: plugin.Parse) -> None:
+    _PLUGINS[kind] = parse
+
+
+def _plugin_source(spark: SparkSession, s: SourceConfig, since: datetime, run_ts: datetime) -> tuple[DataFrame, DataFrame]:
+    """(entries, errors) of one source of a kind written in Python; a file is a page."""
+    plugin.register_format(spark, s.type, _PLUGINS[s.type])
+    rows = spark.read.format(s.type).load(s.options["path"]).withColumn("source", F.lit(s.name))
+    # Files are told apart by a hash of their path, as a page's number is.
+    rows = rows.withColumn("page_ord", F.hash("file"))
+    inside = F.col("published").isNull() | (F.col("published") >= F.lit(since))
+    entries = rows.where(F.col("error").isNull()).select(
+        "source", X.clean_html(F.coalesce("title", F.lit("(no title)"))).alias("title"), "url", X.clean_html(F.col("summary")).alias("summary"),
+        F.coalesce("published", F.lit(run_ts).cast("timestamp")).alias("published"), "fetched_at", "page_ord", "entry_ord",
+        (inside & F.col("url").isNotNull()).alias("in_window"), F.col("published").isNull().alias("undated"))
+    return entries, rows.where(F.col("error").isNotNull()).select("source", "page_ord", "error")
+
+
 def _advisory_entries(raw: DataFrame, since: datetime, run_ts: datetime) -> DataFrame:
     listed = F.from_json(F.col("options")["severities"], "array<string>")
     severities = F.coalesce(listed, F.array(*[F.lit(s) for s in advisories.DEFAULT_SEVERITIES]))
@@ -72,9 +95,14 @@ def union_sources(raw: DataFrame, sources: list[SourceConfig], since: datetime,
         mine = tagged.where(F.col("type") == kind)
         parts.append(entries(mine, since, run_ts))
         problems.append(errors(mine))
+    for s in sources:
+        if s.enabled and s.type in _PLUGINS:
+            entries, errors = _plugin_source(spark, s, since, run_ts)
+            parts.append(entries)
+            problems.append(errors)
     missing = enabled.where(F.col("type").isin(list(_REGISTRY))).join(
         raw.select(F.col("source").alias("name")).distinct(), "name", "left_anti")
-    unknown = enabled.where(~F.col("type").isin(list(_REGISTRY)))
+    unknown = enabled.where(~F.col("type").isin([*_REGISTRY, *_PLUGINS]))
     for rows, text in ((missing, "no payload"), (unknown, "unknown source type")):
         problems.append(rows.select(F.col("name").alias("source"),
                                     F.lit(None).cast("int").alias("page_ord"),
