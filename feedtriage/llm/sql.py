@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import string
 
+from feedtriage.llm import secret_scan
 from feedtriage.llm.queries import MIX
 
 OP1 = r"""
@@ -126,24 +127,35 @@ def _found(kind: int, pattern: str, group: int, least: int) -> str:
   WHERE len(value) >= {least}"""
 
 
+def _fits(cls) -> str:
+    return " AND ".join([f"len(run) >= {cls.width}", *[f"regexp_matches(run, '{p}')" for p in cls.patterns]])
+
+
+def _of_class(value: str) -> str:
+    return "CASE " + " ".join(f"WHEN {_fits(c)} THEN {getattr(c, value)}" for c in secret_scan.CLASSES) + " END"
+
+
 OP10 = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 base AS (""" + "\nUNION ALL".join([_found(0, _ASSIGN, 1, 8), _found(1, "AKIA[A-Z0-9]+", 0, 16), _found(2, "[0-9a-f]{32,}", 0, 32)]) + r"""),
-runs AS (SELECT doc_id, start, stop, run FROM (
-    SELECT r.doc_id, r.start, r.stop, substr(r.t, CAST(r.start AS BIGINT) + 1, CAST(r.stop - r.start AS BIGINT)) AS run FROM (""" + _found(3, "[A-Za-z0-9+/_=-]{24,}", 0, 24) + r""") r
-    WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = r.doc_id AND b.start < r.stop AND r.start < b.stop))
-  WHERE NOT regexp_matches(run, '(?i)example|placeholder|changeme|your_|01234567|abcdefgh')
-    AND NOT regexp_matches(run, '(?i)[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}')
-    AND len(list_filter(range(1, len(run) - 6), lambda i: len(replace(lower(substr(run, i, 8)), lower(substr(run, i, 1)), '')) = 0)) = 0),
-classed AS (SELECT *, CASE WHEN regexp_full_match(run, '[0-9a-fA-F]+') THEN 2.9
-    WHEN regexp_matches(run, '[0-9]') AND regexp_matches(run, '[a-z]') AND regexp_matches(run, '[A-Z]') THEN 3.9
-    WHEN regexp_matches(run, '[0-9]') AND regexp_matches(run, '[a-zA-Z]') AND regexp_full_match(run, '[A-Za-z0-9]+') THEN 3.7 END AS bits
-  FROM runs),
-hits AS (SELECT doc_id, start, list_filter(range(1, len(run) - 22), lambda i: log2(24) - list_sum(list_transform(
-      list_distinct(string_split(substr(run, i, 24), '')), lambda c: (24 - len(replace(substr(run, i, 24), c, '')))
-        * log2(24 - len(replace(substr(run, i, 24), c, ''))))) / 24 >= bits) AS places FROM classed WHERE bits IS NOT NULL),
+runs AS (""" + _found(3, secret_scan.CANDIDATE, 0, secret_scan.SHORT) + r"""),
+repeats AS (SELECT doc_id, start + i - 1 AS start, start + i - 1 + {rep} AS stop FROM (
+    SELECT doc_id, start, t, stop, unnest(range(1, CAST(stop - start AS BIGINT) - {rep} + 2)) AS i FROM runs)
+  WHERE len(replace(substr(t, CAST(start + i AS BIGINT), {rep}), substr(t, CAST(start + i AS BIGINT), 1), '')) = 0),
+cuts AS (SELECT doc_id, start, stop FROM base UNION ALL SELECT doc_id, start, stop FROM repeats
+  UNION ALL SELECT doc_id, start, stop FROM (""".replace("{rep}", str(secret_scan.REPEATED)) + "\nUNION ALL".join([_found(4, secret_scan.ALLOW_WORDS, 0, 1), _found(4, secret_scan.ALLOW_UUID, 0, 1)]) + r""")),
+ends AS (SELECT r.doc_id, r.t, r.start AS run, r.stop, c.start AS a, c.stop AS b FROM runs r JOIN cuts c
+    ON c.doc_id = r.doc_id AND c.start < r.stop AND r.start < c.stop
+  UNION ALL SELECT doc_id, t, start, stop, stop, stop FROM runs),
+gaps AS (SELECT doc_id, t, CAST(greatest(run, coalesce(max(b) OVER (PARTITION BY doc_id, run ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), run)) AS BIGINT) AS start,
+    CAST(a AS BIGINT) AS stop FROM ends),
+pieces AS (SELECT doc_id, start, substr(t, start + 1, stop - start) AS run FROM gaps WHERE stop - start >= """ + str(secret_scan.SHORT) + r"""),
+classed AS (SELECT *, """ + _of_class("bits") + " AS bits, " + _of_class("width") + r""" AS w FROM pieces),
+hits AS (SELECT doc_id, start, w, list_filter(range(1, len(run) - w + 2), lambda i: log2(w) - list_sum(list_transform(
+      list_distinct(string_split(substr(run, i, w), '')), lambda c: (w - len(replace(substr(run, i, w), c, '')))
+        * log2(w - len(replace(substr(run, i, w), c, ''))))) / w >= bits) AS places FROM classed),
 found AS (SELECT doc_id, kind, start, stop FROM base
-  UNION ALL SELECT doc_id, 3, start + list_first(places) - 1, start + list_last(places) + 23 FROM hits WHERE len(places) > 0),
+  UNION ALL SELECT doc_id, 3, start + list_first(places) - 1, start + list_last(places) + w - 1 FROM hits WHERE len(places) > 0),
 named AS (SELECT *, ['assign', 'access', 'hex', 'entropy'][kind + 1] || ':' || CAST(start AS BIGINT) || ':' || CAST(stop AS BIGINT) AS span FROM found)
 SELECT d.doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
        sha256(coalesce(string_agg(span, ',' ORDER BY start, kind) FILTER (kind < 3), '')) AS base_sha256,
