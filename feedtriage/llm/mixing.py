@@ -51,11 +51,19 @@ def faceted(docs: DataFrame, targets: Targets) -> DataFrame:
 def rake(cells: list[tuple[tuple[str, str, str], float]], targets: Targets, sweeps: int = SWEEPS) -> dict[tuple[str, str, str], float]:
     """Tokens to draw from each cell. A margin's targets are scaled to the values present;
     OTHER keeps its share of all tokens. A cell gives at most what it has."""
+    return {key: drawn for key, (drawn, *_) in raked(cells, targets, sweeps).items()}
+
+
+def raked(cells: list[tuple[tuple[str, str, str], float]], targets: Targets,
+          sweeps: int = SWEEPS) -> dict[tuple[str, str, str], tuple[float | None, ...]]:
+    """Tokens to draw from each cell, and for each facet how much of the goal of the cell's
+    value all its cells together reach: 1 where the target is met, less where these or other
+    cells have too few tokens for it; None without a goal."""
     cells = sorted(cells)
     have = np.array([n for _, n in cells], float)
     total = have.sum()
     if not total:
-        return {key: 0.0 for key, _ in cells}
+        return {key: (0.0, None, None, None) for key, _ in cells}
     goals, places = [], []
     for f, name in enumerate(FACETS):
         values = sorted({key[f] for key, _ in cells})
@@ -74,7 +82,9 @@ def rake(cells: list[tuple[tuple[str, str, str], float]], targets: Targets, swee
             held = np.bincount(place, drawn, len(goal))
             drawn = drawn * np.where(held > 0, goal / np.where(held > 0, held, 1), 0)[place]
         drawn = np.minimum(drawn, have)
-    return {key: float(d) for (key, _), d in zip(cells, drawn)}
+    reached = [(np.bincount(place, drawn, len(goal))[place], goal[place]) for goal, place in zip(goals, places)]
+    return {key: (float(drawn[i]), *(float(r[i] / g[i]) if g[i] > 0 else None for r, g in reached))
+            for i, (key, _) in enumerate(cells)}
 
 
 def share_of_one(doc_id: Column, seed: str) -> Column:
@@ -84,7 +94,9 @@ def share_of_one(doc_id: Column, seed: str) -> Column:
 
 
 def mix(docs: DataFrame, targets: Targets, seed: str = "mix") -> DataFrame:
-    """doc_id, source, lang, topic, tokens, probability, selected of each row of ``docs``.
+    """doc_id, source, lang, topic, tokens, probability, selected of each row of ``docs``,
+    and source_reached, lang_reached, topic_reached: the part of the target that all rows of
+    the row's value are expected to give. Targets that the tables cannot give show there.
 
     Rows without tokens follow their cell; a cell without tokens has probability 0.
     Repeated rows share one draw, as the draw depends on the id. Other columns are not
@@ -93,12 +105,14 @@ def mix(docs: DataFrame, targets: Targets, seed: str = "mix") -> DataFrame:
     rows = faceted(docs, targets)
     cells = [(tuple(r[f] for f in FACETS), float(r["n"]))
              for r in rows.groupBy(*FACETS).agg(F.sum("tokens").alias("n")).collect()]
-    drawn = rake(cells, targets)
+    drawn = raked(cells, targets)
+    reached = [f"{f}_reached" for f in FACETS]
     table = docs.sparkSession.createDataFrame(
-        [(*key, drawn[key] / n if n else 0.0) for key, n in cells], "source string, lang string, topic string, probability double")
+        [(*key, drawn[key][0] / n if n else 0.0, *drawn[key][1:]) for key, n in cells],
+        "source string, lang string, topic string, probability double, " + ", ".join(f"{r} double" for r in reached))
     out = rows.join(F.broadcast(table), FACETS)
     return out.select("doc_id", *FACETS, "tokens", "probability",
-                      (share_of_one(F.col("doc_id"), seed) < F.col("probability")).alias("selected"))
+                      (share_of_one(F.col("doc_id"), seed) < F.col("probability")).alias("selected"), *reached)
 
 
 def selected(docs: DataFrame, targets: Targets, seed: str = "mix") -> DataFrame:

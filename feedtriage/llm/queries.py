@@ -27,7 +27,7 @@ MIX = mixing.Targets(
 
 def op2_mixing(spark, d):
     mixed = mixing.mix(table(spark, d, "documents"), MIX)
-    return mixed.withColumn("probability", F.round("probability", 6))
+    return mixed.withColumns({c: F.round(c, 6) for c in ("probability", "source_reached", "lang_reached", "topic_reached")})
 
 
 def op3_ngram_join(spark, d):

@@ -71,8 +71,11 @@ raked(step, source, lang, topic, have, drawn, s, l, t) AS (
     WHEN 1 THEN drawn * l / nullif(sum(drawn) OVER (PARTITION BY lang), 0)
     ELSE least(have, drawn * t / nullif(sum(drawn) OVER (PARTITION BY topic), 0)) END, s, l, t
   FROM raked WHERE step < 180),
-final AS (SELECT source, lang, topic, CASE WHEN have > 0 THEN coalesce(drawn, 0) / have ELSE 0 END AS p FROM raked WHERE step = 180)
-SELECT doc_id, source, lang, topic, tokens, round(p, 6) AS probability,
+final AS (SELECT source, lang, topic, CASE WHEN have > 0 THEN coalesce(drawn, 0) / have ELSE 0 END AS p,
+    round(sum(coalesce(drawn, 0)) OVER (PARTITION BY source) / nullif(s, 0), 6) AS source_reached,
+    round(sum(coalesce(drawn, 0)) OVER (PARTITION BY lang) / nullif(l, 0), 6) AS lang_reached,
+    round(sum(coalesce(drawn, 0)) OVER (PARTITION BY topic) / nullif(t, 0), 6) AS topic_reached FROM raked WHERE step = 180)
+SELECT doc_id, source, lang, topic, tokens, round(p, 6) AS probability, source_reached, lang_reached, topic_reached,
        CAST('0x' || substr(md5('mix:' || doc_id), 1, 12) AS BIGINT) / 281474976710656.0 < p AS selected
 FROM rows JOIN final USING (source, lang, topic)
 """

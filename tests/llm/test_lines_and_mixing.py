@@ -5,8 +5,10 @@ import random
 import numpy as np
 import pytest
 from hypothesis import given, settings, strategies as st
+from pyspark.sql import functions as F
 
 from feedtriage.llm import edit_join, line_dedup, mixing
+from feedtriage.llm.queries import MIX
 
 
 def distance(a, b):
@@ -175,3 +177,26 @@ def test_two_edits_of_characters_share_a_key():
         b = "".join(b)
         if edit_join.within(*sorted([a, b], key=len), edit_join.edits(min(len(a), len(b)))):
             assert edit_join.all_keys(a) & edit_join.all_keys(b)
+
+
+def test_targets_out_of_reach_are_named():
+    cells = [(("a", "en", "prose"), 1_000.0), (("b", "en", "prose"), 10.0)]
+    targets = mixing.Targets({"a": 0.5, "b": 0.5}, {"en": 1.0}, {"prose": 1.0}, rate=0.5)
+    got = mixing.raked(cells, targets)
+    assert got[("b", "en", "prose")][0] == 10.0  # all that there is, of 252.5 tokens wanted
+    assert got[("b", "en", "prose")][1] == pytest.approx(10 / 252.5)
+    assert got[("a", "en", "prose")][1:] == pytest.approx((1.0, 262.5 / 505, 262.5 / 505))
+    assert mixing.raked([(("a", "en", "prose"), 0.0)], targets) == {("a", "en", "prose"): (0.0, None, None, None)}
+
+
+def test_the_registered_targets_are_reached_as_reported(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    out = mixing.mix(docs, MIX).withColumn("spread", F.col("probability") * (1 - F.col("probability")) * F.col("tokens") * F.col("tokens"))
+    total = out.agg(F.sum("tokens")).first()[0]
+    for facet in mixing.FACETS:
+        rows = out.groupBy(facet).agg(
+            F.sum(F.when(F.col("selected"), F.col("tokens")).otherwise(0)).alias("drawn"), F.sum(F.col("probability") * F.col("tokens")).alias("expected"),
+            F.sqrt(F.sum("spread")).alias("deviation"), F.min(f"{facet}_reached").alias("reached")).collect()
+        for r in rows:
+            assert r.expected == pytest.approx(r.reached * getattr(MIX, facet)[r[facet]] * MIX.rate * total, rel=1e-6), r
+            assert abs(r.drawn - r.expected) <= 4 * r.deviation, r  # long documents are drawn whole
