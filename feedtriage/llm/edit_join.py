@@ -5,16 +5,19 @@ the segment's place. Which places need probing follows from the segment's number
 the difference of lengths. Candidates are verified by a bit-parallel edit distance that
 computes a band of 2k + 1 diagonals per column.
 
-Edits of characters are few whatever the length; edits of words grow with it. Of n words
-k edits leave at most k + 1 segments, the longest of (n - k) / (k + 1) words or more,
-which is RUN at least. Both strings choose the run of GRAM words of the smallest hash of
-every RUN - GRAM + 1 following ones, so they choose the same in a segment of RUN words,
-wherever it stands. These hashes are the keys.
+Edits of characters are few whatever the length; edits of words grow with it. Strings
+within k edits of words share a run whose length follows from theirs (``run_length``).
+Each string chooses, of every so many following runs of GRAM words, the one of the
+smallest hash. The least of a longer window is the least of each shorter one that holds
+it, so two strings choose the same in the run they share, wherever it stands and whatever
+the windows of each. These hashes are the keys.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import xxhash
@@ -23,9 +26,9 @@ import xxhash
 SHORTEST, SECOND = 40, 200
 #: Strings of so many words or more may differ in one word of as many.
 TWENTIETH = 20
-#: Words of the segment that two such strings share at least, and of the runs hashed in it.
+#: Words of the runs that are hashed; strings of TWENTIETH words share ten.
 #: Shorter runs recur in prose: runs of five words put half of all lines into one cluster.
-RUN, GRAM = 10, 8
+GRAM = 8
 #: From so many words on, two edits of characters are within those of words for both strings.
 BY_WORDS = 82
 
@@ -52,16 +55,18 @@ def segments(length: int, k: int) -> list[tuple[int, int]]:
 
 
 def index_keys(text: str) -> Iterator[int]:
-    """Keys of the string's own segments."""
+    """Keys of the string's own segments, which are among those it probes."""
     n = len(text)
     k = edits(n)
     for i, (at, size) in enumerate(segments(n, k) if k >= 0 else ()):
         yield xxhash.xxh64_intdigest(text[at:at + size], seed=n << 3 | i)
 
 
-def probe_keys(text: str) -> Iterator[int]:
-    """Keys of the segments of strings of its length or less that its substrings can equal."""
-    n = len(text)
+@lru_cache(maxsize=20_000)
+def probes(n: int, shortest: int, second: int) -> list[tuple[int, int, int]]:
+    """Start, end and seed of the substrings of a string of length n that may equal segments
+    of strings of its length or less. The other arguments name the limits of ``edits``."""
+    out = []
     for length in range(n - edits(n) if edits(n) > 0 else n, n + 1):
         k, more = edits(length), n - length
         if k < more:
@@ -69,29 +74,74 @@ def probe_keys(text: str) -> Iterator[int]:
         for i, (at, size) in enumerate(segments(length, k)):
             low = max(0, at - i, at + more - (k - i))
             high = min(n - size, at + i, at + more + (k - i))
-            for start in range(low, high + 1):
-                yield xxhash.xxh64_intdigest(text[start:start + size], seed=length << 3 | i)
+            out += [(start, start + size, length << 3 | i) for start in range(low, high + 1)]
+    return out
 
 
-def word_keys(words: list[str]) -> np.ndarray:
-    """Hashes of the chosen runs of words; none for strings of too few words."""
-    if word_edits(len(words)) < 0:
-        return np.zeros(0, np.uint64)
-    hashes = {w: xxhash.xxh64_intdigest(w) for w in set(words)}
-    own = np.fromiter((hashes[w] for w in words), np.uint64, len(words))
-    n, width = len(words) - GRAM + 1, RUN - GRAM + 1
+def probe_keys(text: str) -> list[int]:
+    """Keys of the segments of strings of its length or less that its substrings can equal."""
+    digest = xxhash.xxh64_intdigest
+    return [digest(text[a:b], seed) for a, b, seed in probes(len(text), SHORTEST, SECOND)]
+
+
+@lru_cache(maxsize=100_000)
+def run_length(n_words: int) -> int:
+    """Words that a string of so many surely shares, in one run, with each shorter one (or
+    one of its length) that is within the shorter one's edits: m words with k edits leave
+    k + 1 runs, the longest of (m - k) / (k + 1) words or more."""
+    shortest = max(TWENTIETH, n_words * TWENTIETH // (TWENTIETH + 1) - 1)
+    return min(-(-(m - word_edits(m)) // (word_edits(m) + 1))
+               for m in range(shortest, n_words + 1) if m + word_edits(m) >= n_words)
+
+
+def word_keys(lines: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the lines, ascending, and the hashes of their chosen runs of words; none
+    for lines of too few words. All lines are worked on at once."""
+    taking = [i for i, words in enumerate(lines) if word_edits(len(words)) >= 0]
+    if not taking:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    words = list(chain.from_iterable(lines[i] for i in taking))
+    known = {w: xxhash.xxh64_intdigest(w) for w in set(words)}
+    own = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+    n = len(words) - GRAM + 1
     grams = np.zeros(n, np.uint64)
     for i in range(GRAM):
         grams = (grams ^ own[i:i + n]) * np.uint64(0x9E3779B97F4A7C15)
         grams ^= grams >> np.uint64(29)
-    return np.unique(np.lib.stride_tricks.sliding_window_view(grams, width).min(axis=1))
+    sizes = np.array([len(lines[i]) for i in taking])
+    widths = np.array([run_length(k) - GRAM + 1 for k in sizes.tolist()])
+    ends = np.cumsum(sizes)
+    owner = np.repeat(np.arange(len(taking)), sizes)[:n]
+    width = widths[owner]
+    # A window must end in its own line.
+    whole = np.arange(n) + width + GRAM - 1 <= ends[owner]
+    found, least = np.zeros(n, np.uint64), grams.copy()
+    for k in range(2, int(widths.max()) + 1):
+        np.minimum(least[:n - k + 1], grams[k - 1:], out=least[:n - k + 1])
+        np.copyto(found, least, where=width == k)
+    owner, found = owner[whole], found[whole]
+    for order in (slice(None), None):  # following windows mostly choose the same run: these go before the sort
+        order = np.lexsort((found, owner)) if order is None else order
+        owner, found = owner[order], found[order]
+        new = np.ones(len(found), bool)
+        new[1:] = (owner[1:] != owner[:-1]) | (found[1:] != found[:-1])
+        owner, found = owner[new], found[new]
+    return np.array(taking, np.int64)[owner], found
+
+
+def keys_of(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the lines and their keys, of which two lines that join share one."""
+    words = [x.split() for x in lines]
+    places, keys = word_keys(words)
+    short = [probe_keys(x) if len(w) < BY_WORDS else () for x, w in zip(lines, words)]
+    more = np.fromiter(chain.from_iterable(short), np.uint64)
+    return (np.concatenate([places, np.repeat(np.arange(len(lines)), [len(k) for k in short])]),
+            np.concatenate([keys, more]))
 
 
 def all_keys(text: str) -> set[int]:
-    """Keys of which two strings that join share one."""
-    words = text.split()
-    keys = set(word_keys(words).tolist())
-    return keys if len(words) >= BY_WORDS else keys.union(index_keys(text), probe_keys(text))
+    """The keys of one line."""
+    return set(keys_of([text])[1].tolist())
 
 
 def within(a: str | list[str], b: str | list[str], k: int) -> bool:
@@ -164,8 +214,10 @@ def join(texts: list[str]) -> list[int]:
         for key in index_keys(texts[i]):
             index.setdefault(key, []).append(i)
     index = {}
+    places, found = word_keys(words)
+    chosen = [k.tolist() for k in np.split(found, np.searchsorted(places, np.arange(1, len(texts))))]
     for i in sorted(range(len(texts)), key=lambda i: (len(words[i]), texts[i])):
-        seen, keys = set(), word_keys(words[i]).tolist()
+        seen, keys = set(), chosen[i]
         for key in keys:
             for j in index.get(key, ()):
                 if j not in seen:

@@ -30,6 +30,8 @@ from feedtriage.scratch import Scratch
 MIN_CHARS = 20
 #: A key that a sample of SAMPLE texts holds more often is frequent; kept at most.
 FREQUENT, FREQUENT_KEPT = 8, 500_000
+#: Lines of which a task knows that their keys are out; then it forgets them all.
+SEEN = 500_000
 #: Bits of the table that says which lines may be in a cluster. Its size is fixed; more
 #: lines than bits only let more lines through.
 FILTER_BITS = 1 << 24
@@ -51,9 +53,15 @@ def _lines(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", "line", F.xxhash64("line").alias("h1"), F.xxhash64("line", F.lit(1)).alias("h2"))
 
 
-def _keys_of(texts: list[str]) -> dict[int, set[int]]:
-    lines = {line for t in texts for line in t.split("\n") if len(line) >= edit_join.SHORTEST}
-    return {line_hash(x): edit_join.all_keys(x) for x in lines}
+def _keys_of(texts: list[str], seen: set[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the lines that are not in ``seen``, which grows by them, each beside its keys."""
+    lines = {line_hash(x): x for x in {x for t in texts for x in t.split("\n") if len(x) >= edit_join.SHORTEST}}
+    lines = {h: x for h, x in lines.items() if h not in seen}
+    seen.update(lines)
+    if len(seen) > SEEN:
+        seen.clear()
+    places, keys = edit_join.keys_of(list(lines.values()))
+    return _signed(list(lines))[places], keys.view(np.int64)
 
 
 def _frequent(docs: DataFrame) -> np.ndarray:
@@ -63,12 +71,12 @@ def _frequent(docs: DataFrame) -> np.ndarray:
 
     def run(batches):
         for _, texts in text_batches(batches, "text"):
-            keys, n = np.unique(np.array([k for ks in _keys_of(texts).values() for k in ks], np.uint64), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], ["key", "n"])
+            keys, n = np.unique(_keys_of(texts, set())[1], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], ["key", "n"])
 
     top = (sample.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
            .where(F.col("n") > FREQUENT).orderBy(F.desc("n"), "key").limit(FREQUENT_KEPT).select("key"))
-    return np.sort(_signed([r.key & (1 << 64) - 1 for r in top.collect()]))
+    return np.sort(np.array([r.key for r in top.collect()], np.int64))
 
 
 def _clusters(docs: DataFrame, scratch: Scratch) -> DataFrame:
@@ -76,11 +84,9 @@ def _clusters(docs: DataFrame, scratch: Scratch) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(_frequent(docs))
 
     def run(batches):
-        frequent = shared.value
+        frequent, seen = shared.value, set()
         for _, texts in text_batches(batches, "text"):
-            found = _keys_of(texts)
-            ids = np.repeat(_signed(list(found)), [len(k) for k in found.values()])
-            keys = _signed([k for ks in found.values() for k in ks])
+            ids, keys = _keys_of(texts, seen)
             yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(keys), pa.array(np.isin(keys, frequent))], ["a", "key", "hot"])
 
     rows = docs.select("text").mapInArrow(run, "a long, key long, hot boolean")
