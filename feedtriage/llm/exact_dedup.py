@@ -49,15 +49,18 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     entry = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")
     winners = (salted.groupBy("digest", "salts", "salt", "body")
                .agg(F.array_sort(F.collect_list(entry)).alias("ids"))
-               .select("digest", F.when(F.col("salts").isNotNull(), F.col("body")).alias("hot_body"),
+               .select("digest", "salt", F.when(F.col("salts").isNotNull(), F.col("body")).alias("hot_body"),
                        F.col("ids")[0].alias("first"), F.size("ids").cast("long").alias("n"), "ids"))
     winners = Scratch(spark, "exact-dedup").save(winners, "salts")
     cold = (winners.where(F.col("hot_body").isNull())
             .select("digest", "first", "ids", F.col("first").alias("keep"), F.col("n").alias("group_size")))
     across = winners.where(F.col("hot_body").isNotNull())
+    # What was found of a whole text goes back to its salts, so that the ids of one text never
+    # meet in one task.
     whole = (across.groupBy("digest", "hot_body")
-             .agg(F.min("first").alias("keep"), F.sum("n").alias("group_size")))
-    merged = (across.join(whole, ["digest", "hot_body"])
+             .agg(F.min("first").alias("keep"), F.sum("n").alias("group_size"), F.collect_list("salt").alias("salts"))
+             .select("digest", F.xxhash64("hot_body").alias("mark"), F.explode("salts").alias("salt"), "keep", "group_size"))
+    merged = (across.withColumn("mark", F.xxhash64("hot_body")).join(whole, ["digest", "mark", "salt"])
               .select("digest", "first", "ids", "keep", "group_size"))
     out = cold.unionByName(merged).select(
         "digest", "first", "keep", "group_size", F.posexplode("ids").alias("pos", "entry"))

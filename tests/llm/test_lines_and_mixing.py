@@ -200,3 +200,21 @@ def test_the_registered_targets_are_reached_as_reported(spark):
         for r in rows:
             assert r.expected == pytest.approx(r.reached * getattr(MIX, facet)[r[facet]] * MIX.rate * total, rel=1e-6), r
             assert abs(r.drawn - r.expected) <= 4 * r.deviation, r  # long documents are drawn whole
+
+
+def test_lines_within_their_edits_of_words_share_a_key():
+    rng = random.Random(8)
+    met = 0
+    for _ in range(1500):
+        a = [str(rng.randrange(60)) for _ in range(rng.randrange(20, 300))]
+        b = list(a)
+        for _ in range(rng.randrange(1, len(a) // 20 + 1)):
+            at, kind = rng.randrange(len(b)), rng.randrange(3)
+            b[at:at + (kind < 2)] = ["new"] * (kind > 0)
+        k = edit_join.word_edits(min(len(a), len(b)))
+        if k >= 0 and edit_join.within(*sorted([a, b], key=len), k):
+            places, keys = edit_join.word_keys([a, ["too", "few"], b])
+            assert set(places.tolist()) == {0, 2} and set(keys[places == 0].tolist()) & set(keys[places == 2].tolist())
+            met += 1
+    assert met > 1000
+    assert len(edit_join.word_keys([["few"], []])[1]) == 0
