@@ -14,7 +14,7 @@ import struct
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from feedtriage.llm.batches import text_batches
 
@@ -183,18 +183,21 @@ def encode_pieces(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_co
     return docs.selectExpr(f"`{id_col}` as doc_id", f"`{text_col}` as text").mapInArrow(run, schema)
 
 
-def decode_pieces(rows: DataFrame, model: bytes, ids_col: str = "ids") -> DataFrame:
-    """doc_id and the decoded text of rows of ``encode_pieces``; null ids give an empty text."""
+def decode_pieces(rows: DataFrame, model: bytes, ids_col: str = "ids", keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, the columns in ``keep`` and the decoded text of rows of ``encode_pieces``; null
+    ids give an empty text. ``keep`` holds neither doc_id nor text."""
     shared = rows.sparkSession.sparkContext.broadcast(model)
-    kind = rows.schema["doc_id"].dataType.simpleString()
+    picked = rows.select("doc_id", F.col(ids_col).alias("_ids"), *keep)
+    schema = picked.drop("_ids").schema.add("text", "string")
 
     def run(batches):
         codec = Codec(shared.value)
         for batch in batches:
-            texts = [codec.lib.decode(ids or []) for ids in batch.column("ids").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "text"])
+            texts = [codec.lib.decode(ids or []) for ids in batch.column("_ids").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[batch.column(c) for c in keep], pa.array(texts, pa.string())],
+                                             ["doc_id", *keep, "text"])
 
-    return rows.selectExpr("doc_id", f"`{ids_col}` as ids").mapInArrow(run, f"doc_id {kind}, text string")
+    return picked.mapInArrow(run, schema)
 
 
 def piece_digests(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str = "text",
