@@ -11,7 +11,7 @@ from feedtriage.plans import driver_tables as T
 from feedtriage.plans.config import SourceConfig
 from feedtriage.schema import RAW
 from feedtriage.scratch import Scratch
-from feedtriage.sources import json_feed, registry
+from feedtriage.sources import json_feed, plugin, registry
 from feedtriage.streaming import counts
 
 SINCE = datetime(2024, 1, 1, 3, 0, tzinfo=timezone.utc)
@@ -26,7 +26,7 @@ def plugin_source(spark, d):
     feeds = T.document_articles(spark, d).select(F.to_json(F.struct(
         F.lit("https://jsonfeed.org/version/1.1").alias("version"), F.array(item).alias("items"))).alias("value"))
     feeds.write.option("compression", "gzip").text(f"{scratch.root}/landed")
-    registry.register_plugin(json_feed.KIND, json_feed.parse)
+    registry.register_plugin(json_feed.KIND, plugin.ByLine(json_feed.parse))  # a file holds many documents
     source = SourceConfig("documents", json_feed.KIND, options={"path": f"{scratch.root}/landed"})
     entries, _ = registry.union_sources(spark.createDataFrame([], RAW), [source], SINCE, T.RUN_TS)
     return entries.where("in_window").select("source", "title", "url", "summary", T.clock(F.col("published")).alias("published"), "undated")

@@ -6,6 +6,7 @@ files to tasks by size; a file is read by the task that parses it.
 
 from __future__ import annotations
 
+import codecs
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from datetime import datetime, timezone
@@ -26,6 +27,19 @@ ENTRIES = T.StructType([
 #: Files of a task add up to about so many bytes.
 TASK_BYTES = 32 << 20
 
+#: Bytes of a file that a task holds at a time, besides a line, if its kind goes by lines.
+CHUNK_BYTES = 1 << 20
+
+
+@dataclass(frozen=True)
+class ByLine:
+    """A kind whose files are UTF-8 text with a document a line: ``parse`` gets one line at a
+    time, so that a task holds a line, not a file."""
+    parse: Parse
+
+    def __call__(self, body: bytes) -> Iterable[tuple]:
+        return self.parse(body)
+
 
 @dataclass
 class Files(InputPartition):
@@ -54,6 +68,55 @@ def deal(files: list[tuple[int, str, int]], task_bytes: int = TASK_BYTES) -> lis
     return parts
 
 
+def _check_text(stream) -> None:
+    """Raise if the stream cannot be read to its end, or is no UTF-8 there."""
+    decoder, at = codecs.getincrementaldecoder("utf-8")(), 0
+    while True:
+        chunk = stream.read(CHUNK_BYTES)
+        held = len(decoder.getstate()[0])
+        try:
+            decoder.decode(chunk, final=not chunk)
+        except UnicodeDecodeError as fault:
+            raise _NoText(fault, at - held) from None
+        if not chunk:
+            return
+        at += len(chunk)
+
+
+class _NoText(Exception):
+    """A UnicodeDecodeError in the middle of a file, told by its place in the file."""
+
+    def __init__(self, fault: UnicodeDecodeError, before: int):
+        first, last = fault.start + before, fault.end - 1 + before
+        where = f"byte 0x{fault.object[fault.start]:02x} in position {first}" if first == last else f"bytes in position {first}-{last}"
+        super().__init__(f"'{fault.encoding}' codec can't decode {where}: {fault.reason}")
+
+
+def _lines(stream) -> Iterator[bytes]:
+    rest = []
+    while chunk := stream.read(CHUNK_BYTES):
+        first, *others = chunk.split(b"\n")
+        rest.append(first)
+        if others:
+            yield b"".join(rest)
+            yield from others[:-1]
+            rest = [others[-1]]
+    yield b"".join(rest)
+
+
+def _entries(where: fs.FileSystem, name: str, parse: Parse) -> Iterator[tuple]:
+    if isinstance(parse, ByLine):
+        with where.open_input_stream(name, compression="detect") as stream:
+            _check_text(stream)  # a file that is no text as a whole gives no entries
+        with where.open_input_stream(name, compression="detect") as stream:
+            for line in _lines(stream):
+                yield from parse.parse(line)
+    else:
+        with where.open_input_stream(name, compression="detect") as stream:
+            body = stream.read()
+        yield from parse(body)
+
+
 def _read(partition: Files, parse: Parse, path: str) -> Iterator[tuple]:
     """The entries of each file; of a file that cannot be read to its end, those before the
     fault, and a row that holds the error."""
@@ -62,13 +125,12 @@ def _read(partition: Files, parse: Parse, path: str) -> Iterator[tuple]:
         fetched = datetime.fromtimestamp(at / 1e9, timezone.utc)
         k = 0
         try:
-            with where.open_input_stream(name, compression="detect") as stream:
-                body = stream.read()
-            for entry in parse(body):
+            for entry in _entries(where, name, parse):
                 yield (name, fetched, k, *entry, None)
                 k += 1
         except Exception as fault:
-            yield name, fetched, k, None, None, None, None, f"{type(fault).__name__}: {fault}"
+            kind = "UnicodeDecodeError" if isinstance(fault, _NoText) else type(fault).__name__
+            yield name, fetched, k, None, None, None, None, f"{kind}: {fault}"
 
 
 class _Reader(DataSourceReader):

@@ -122,3 +122,22 @@ def test_the_newest_page_that_names_a_record_answers(spark):
     rows = [(1, 0, None), (1, 1, 5), (1, 2, 4), (2, 0, None), (3, 0, 9), (3, 1, 2)]
     answers = spark.createDataFrame(rows, "seq long, page int, match_id long")
     assert {r.seq: r.match_id for r in model.first_answer(answers).collect()} == {1: 5, 2: None, 3: 9}
+
+
+def test_a_file_by_lines_is_never_held_whole(tmp_path):
+    """The same rows as from the whole file, faults too, with a small part of its memory."""
+    import tracemalloc
+    line = json.dumps({"items": [{"title": "t", "url": "u", "summary": "s" * 2000}]}).encode()
+    bodies = {"many": (line + b"\n") * 10_000, "end": line + b"\n" + line, "fault": line + b"\n{}\n" + line,
+              "no-text": line * 600 + b"\n\xff" + line, "short": line + b"\xe2\x82", "empty": b"", "blank": b"\n \n"}
+    for name, body in bodies.items():
+        (tmp_path / f"{name}.gz").write_bytes(gzip.compress(body))
+    (tmp_path / "cut.gz").write_bytes(gzip.compress(bodies["many"])[:-40])
+    part = plugin.deal(plugin.landed_files(str(tmp_path)), 1 << 40)[0]
+    whole = list(plugin._read(part, json_feed.parse, str(tmp_path)))
+    assert list(plugin._read(part, plugin.ByLine(json_feed.parse), str(tmp_path))) == whole
+    tracemalloc.start()
+    n = sum(1 for _ in plugin._read(part, plugin.ByLine(json_feed.parse), str(tmp_path)))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == len(whole) and peak < len(bodies["many"]) / 4
