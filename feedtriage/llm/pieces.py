@@ -11,9 +11,11 @@ from __future__ import annotations
 
 import hashlib
 import struct
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from feedtriage.llm.batches import text_batches
@@ -183,6 +185,21 @@ def encode_pieces(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_co
     return docs.selectExpr(f"`{id_col}` as doc_id", f"`{text_col}` as text").mapInArrow(run, schema)
 
 
+#: Ids that are Python numbers at once; a longer text is handled alone.
+DECODED_IDS = 200_000
+
+
+def id_slices(batch: pa.RecordBatch, column: str, most: int = DECODED_IDS) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of at most ``most`` ids, or of one row."""
+    sizes = pc.fill_null(pc.list_value_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    ends, start = np.cumsum(sizes, dtype=np.int64), 0
+    while start < batch.num_rows:
+        before = ends[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, before + most, side="right")))
+        yield batch.slice(start, stop - start)
+        start = stop
+
+
 def decode_pieces(rows: DataFrame, model: bytes, ids_col: str = "ids", keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, the columns in ``keep`` and the decoded text of rows of ``encode_pieces``; null
     ids give an empty text. ``keep`` holds neither doc_id nor text."""
@@ -192,7 +209,7 @@ def decode_pieces(rows: DataFrame, model: bytes, ids_col: str = "ids", keep: tup
 
     def run(batches):
         codec = Codec(shared.value)
-        for batch in batches:
+        for batch in (part for whole in batches for part in id_slices(whole, "_ids")):
             texts = [codec.lib.decode(ids or []) for ids in batch.column("_ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[batch.column(c) for c in keep], pa.array(texts, pa.string())],
                                              ["doc_id", *keep, "text"])

@@ -62,3 +62,14 @@ def test_round_trip_in_spark(spark):
         assert d.ids_sha256 == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
         assert d.decoded_sha256 == hashlib.sha256(CODEC.lib.decode(ids).encode()).hexdigest()
     assert pieces.piece_digests(docs.limit(0), MODEL).count() == 0
+
+
+def test_decoding_makes_numbers_of_a_bounded_part_of_a_batch(monkeypatch):
+    """A batch of rows with nulls, empty and long lists goes in slices, none lost."""
+    import pyarrow as pa
+    ids = [[1] * 7, None, [], [2] * 30, [3] * 5, [4] * 5, None]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(7)), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "_ids"]).slice(1)
+    parts = list(pieces.id_slices(batch, "_ids", 10))
+    assert [p.column("doc_id").to_pylist() for p in parts] == [[1, 2], [3], [4, 5, 6]]
+    assert [x for p in parts for x in p.column("_ids").to_pylist()] == ids[1:]
+    assert list(pieces.id_slices(batch.slice(0, 0), "_ids", 10)) == []
