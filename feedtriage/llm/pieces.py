@@ -153,6 +153,33 @@ def _lists(arrays: list[np.ndarray], kind) -> pa.ListArray:
     return pa.ListArray.from_arrays(offsets, pa.array(values.astype(kind)))
 
 
+#: Characters that are ids and spans at once; a longer text is handled alone.
+ENCODED_CHARS = 500_000
+
+
+def _encoded(codec: Codec, batches: Iterator[pa.RecordBatch], bos: bool, eos: bool, spans: bool) -> Iterator[pa.RecordBatch]:
+    """doc_id, ids and with ``spans`` begins and ends of batches of doc_id and text."""
+    for batch, texts in text_batches(batches, "text", ENCODED_CHARS):
+        all_ids, begins, ends = [], [], []
+        for text, (ids, begin, end) in zip(texts, codec.encode_all(texts)):
+            all_ids.append(codec.with_marks(ids, bos, eos))
+            if spans:
+                size = len(text.encode())
+                begins.append(np.concatenate([np.zeros(int(bos), np.int32), begin, np.full(int(eos), size, np.int32)]))
+                ends.append(np.concatenate([np.zeros(int(bos), np.int32), end, np.full(int(eos), size, np.int32)]))
+        cols = [batch.column("doc_id"), _lists(all_ids, np.int32)]
+        names = ["doc_id", "ids"]
+        if spans:
+            cols += [_lists(begins, np.int32), _lists(ends, np.int32)]
+            names += ["begins", "ends"]
+        yield pa.RecordBatch.from_arrays(cols, names)
+
+
+def _piece_columns(docs: DataFrame, id_col: str, spans: bool) -> str:
+    kind = docs.schema[id_col].dataType.simpleString()
+    return f"doc_id {kind}, ids array<int>" + ", begins array<int>, ends array<int>" * spans
+
+
 def encode_pieces(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str = "text",
                   bos: bool = True, eos: bool = True, spans: bool = True) -> DataFrame:
     """One row per row of ``docs``: doc_id, ids, and with ``spans`` begins and ends, the
@@ -162,27 +189,8 @@ def encode_pieces(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_co
     columns are not read; texts are never cut. An empty table gives an empty result.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # the size of one model file
-    kind = docs.schema[id_col].dataType.simpleString()
-
-    def run(batches):
-        codec = Codec(shared.value)
-        for batch, texts in text_batches(batches, "text"):
-            all_ids, begins, ends = [], [], []
-            for text, (ids, begin, end) in zip(texts, codec.encode_all(texts)):
-                all_ids.append(codec.with_marks(ids, bos, eos))
-                if spans:
-                    size = len(text.encode())
-                    begins.append(np.concatenate([[0] * bos, begin, [size] * eos]))
-                    ends.append(np.concatenate([[0] * bos, end, [size] * eos]))
-            cols = [batch.column("doc_id"), _lists(all_ids, np.int32)]
-            names = ["doc_id", "ids"]
-            if spans:
-                cols += [_lists(begins, np.int32), _lists(ends, np.int32)]
-                names += ["begins", "ends"]
-            yield pa.RecordBatch.from_arrays(cols, names)
-
-    schema = f"doc_id {kind}, ids array<int>" + ", begins array<int>, ends array<int>" * spans
-    return docs.selectExpr(f"`{id_col}` as doc_id", f"`{text_col}` as text").mapInArrow(run, schema)
+    run = lambda batches: _encoded(Codec(shared.value), batches, bos, eos, spans)
+    return docs.selectExpr(f"`{id_col}` as doc_id", f"`{text_col}` as text").mapInArrow(run, _piece_columns(docs, id_col, spans))
 
 
 #: Ids that are Python numbers at once; a longer text is handled alone.
@@ -200,21 +208,38 @@ def id_slices(batch: pa.RecordBatch, column: str, most: int = DECODED_IDS) -> It
         start = stop
 
 
+def _decoded(codec: Codec, batches: Iterator[pa.RecordBatch], ids_col: str, keep: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
+    """doc_id, the columns in ``keep`` and the text that the ids decode to."""
+    for batch in (part for whole in batches for part in id_slices(whole, ids_col)):
+        texts = [codec.lib.decode(ids or []) for ids in batch.column(ids_col).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[batch.column(c) for c in keep], pa.array(texts, pa.string())],
+                                         ["doc_id", *keep, "text"])
+
+
 def decode_pieces(rows: DataFrame, model: bytes, ids_col: str = "ids", keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, the columns in ``keep`` and the decoded text of rows of ``encode_pieces``; null
     ids give an empty text. ``keep`` holds neither doc_id nor text."""
     shared = rows.sparkSession.sparkContext.broadcast(model)
     picked = rows.select("doc_id", F.col(ids_col).alias("_ids"), *keep)
-    schema = picked.drop("_ids").schema.add("text", "string")
+    run = lambda batches: _decoded(Codec(shared.value), batches, "_ids", keep)
+    return picked.mapInArrow(run, picked.drop("_ids").schema.add("text", "string"))
+
+
+def encode_and_decode(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str = "text",
+                      bos: bool = True, eos: bool = True) -> DataFrame:
+    """``decode_pieces`` of ``encode_pieces``, with its ids and spans: doc_id, ids, begins, ends, text.
+
+    Ids are decoded in the process that made them, a bounded part of a batch at a time, so
+    an executor holds one process a task and no batches of ids on the way to a second one.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         codec = Codec(shared.value)
-        for batch in (part for whole in batches for part in id_slices(whole, "_ids")):
-            texts = [codec.lib.decode(ids or []) for ids in batch.column("_ids").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[batch.column(c) for c in keep], pa.array(texts, pa.string())],
-                                             ["doc_id", *keep, "text"])
+        return _decoded(codec, _encoded(codec, batches, bos, eos, True), "ids", ("ids", "begins", "ends"))
 
-    return picked.mapInArrow(run, schema)
+    return docs.selectExpr(f"`{id_col}` as doc_id", f"`{text_col}` as text").mapInArrow(
+        run, _piece_columns(docs, id_col, True) + ", text string")
 
 
 def piece_digests(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str = "text",

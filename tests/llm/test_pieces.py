@@ -73,3 +73,17 @@ def test_decoding_makes_numbers_of_a_bounded_part_of_a_batch(monkeypatch):
     assert [p.column("doc_id").to_pylist() for p in parts] == [[1, 2], [3], [4, 5, 6]]
     assert [x for p in parts for x in p.column("_ids").to_pylist()] == ids[1:]
     assert list(pieces.id_slices(batch.slice(0, 0), "_ids", 10)) == []
+
+
+def test_encoding_and_decoding_need_one_process_a_task(spark, monkeypatch):
+    """The pipeline's last stage passes ids to no second Python process; rows are those of the two steps."""
+    import corpus_pipeline
+    rows = [(i, t) for i, t in enumerate(TEXTS)] + [(99, None), (None, "a"), (0, TEXTS[0])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    plan = corpus_pipeline.encoding_stage(spark, docs, "")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+    monkeypatch.setattr(pieces, "ENCODED_CHARS", 10)
+    whole = lambda df: sorted(map(str, df.select("doc_id", "ids", "begins", "ends", "text").collect()))
+    two = pieces.decode_pieces(pieces.encode_pieces(docs, MODEL), MODEL, keep=("ids", "begins", "ends"))
+    assert whole(pieces.encode_and_decode(docs, MODEL)) == whole(two)
+    assert pieces.encode_and_decode(docs.limit(0), MODEL).count() == 0
