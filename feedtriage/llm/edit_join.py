@@ -31,6 +31,8 @@ TWENTIETH = 20
 GRAM = 8
 #: From so many words on, two edits of characters are within those of words for both strings.
 BY_WORDS = 82
+#: So many strings or fewer are compared with each other without keys.
+FEW = 16
 
 
 def edits(length: int) -> int:
@@ -96,10 +98,14 @@ def run_length(n_words: int) -> int:
 
 def word_keys(lines: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
     """Places of the lines, ascending, and the hashes of their chosen runs of words; none
-    for lines of too few words. All lines are worked on at once."""
+    for lines of too few words. A run that a line repeats may come more than once. All lines
+    are worked on at once."""
     taking = [i for i, words in enumerate(lines) if word_edits(len(words)) >= 0]
     if not taking:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    taking.sort(key=lambda i: run_length(len(lines[i])))
+    sizes = np.array([len(lines[i]) for i in taking])
+    widths = np.array([run_length(k) - GRAM + 1 for k in sizes.tolist()])
     words = list(chain.from_iterable(lines[i] for i in taking))
     known = {w: xxhash.xxh64_intdigest(w) for w in set(words)}
     own = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
@@ -108,25 +114,29 @@ def word_keys(lines: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
     for i in range(GRAM):
         grams = (grams ^ own[i:i + n]) * np.uint64(0x9E3779B97F4A7C15)
         grams ^= grams >> np.uint64(29)
-    sizes = np.array([len(lines[i]) for i in taking])
-    widths = np.array([run_length(k) - GRAM + 1 for k in sizes.tolist()])
     ends = np.cumsum(sizes)
     owner = np.repeat(np.arange(len(taking)), sizes)[:n]
-    width = widths[owner]
+    found = np.zeros(n, np.uint64)
+    stops = np.searchsorted(widths, widths, side="right")
+    first = 0
+    while first < len(taking):  # the lines of one width follow each other
+        width, stop = int(widths[first]), int(stops[first])
+        low, high = int(ends[first] - sizes[first]), min(int(ends[stop - 1]), n)
+        least, wide = grams[low:high], 1
+        while wide < width:  # the least of twice as many runs, or of as many as are wanted
+            step = min(wide, width - wide)
+            least = np.minimum(least[:-step], least[step:])
+            wide += step
+        found[low:low + len(least)] = least
+        first = stop
     # A window must end in its own line.
-    whole = np.arange(n) + width + GRAM - 1 <= ends[owner]
-    found, least = np.zeros(n, np.uint64), grams.copy()
-    for k in range(2, int(widths.max()) + 1):
-        np.minimum(least[:n - k + 1], grams[k - 1:], out=least[:n - k + 1])
-        np.copyto(found, least, where=width == k)
+    whole = np.arange(n) + widths[owner] + GRAM - 1 <= ends[owner]
     owner, found = owner[whole], found[whole]
-    for order in (slice(None), None):  # following windows mostly choose the same run: these go before the sort
-        order = np.lexsort((found, owner)) if order is None else order
-        owner, found = owner[order], found[order]
-        new = np.ones(len(found), bool)
-        new[1:] = (owner[1:] != owner[:-1]) | (found[1:] != found[:-1])
-        owner, found = owner[new], found[new]
-    return np.array(taking, np.int64)[owner], found
+    new = np.ones(len(found), bool)  # following windows mostly choose the same run
+    new[1:] = (owner[1:] != owner[:-1]) | (found[1:] != found[:-1])
+    places, found = np.array(taking, np.int64)[owner[new]], found[new]
+    order = np.argsort(places, kind="stable")
+    return places[order], found[order]
 
 
 def keys_of(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -149,7 +159,8 @@ def within(a: str | list[str], b: str | list[str], k: int) -> bool:
 
     Bit t of the vectors stands for row j - k + t of column j, so the band moves down one
     row a column. Along the diagonal of the last cell the distance grows by one where the
-    diagonal bit is not set.
+    diagonal bit is not set. Only rows that the band has reached are looked at, so strings
+    that soon differ cost little, whatever their length.
     """
     if abs(len(a) - len(b)) > k:
         return False
@@ -165,7 +176,7 @@ def within(a: str | list[str], b: str | list[str], k: int) -> bool:
     if not a or not b:
         return max(len(a), len(b)) <= k
     places: dict[str, int] = {}
-    for i, c in enumerate(a):
+    for i, c in enumerate(a[:k]):
         places[c] = places.get(c, 0) | 1 << i
     width = 2 * k + 1
     full, top = (1 << width) - 1, 1 << width - 1
@@ -173,7 +184,9 @@ def within(a: str | list[str], b: str | list[str], k: int) -> bool:
     bit, distance = 1 << diagonal + k, max(diagonal, 0)
     up, down = full ^ ((1 << k) - 1), 0  # in column 0 each row from 1 on is one more than the last
     for j, c in enumerate(b, 1):
-        at = j - k - 1
+        at, last = j - k - 1, j + k - 1
+        if last < len(a):
+            places[a[last]] = places.get(a[last], 0) | 1 << last
         equal = places.get(c, 0)
         equal = (equal >> at if at >= 0 else equal << -at) & full
         level = ((((equal & up) + up) ^ up) | equal | down) & full
@@ -188,6 +201,15 @@ def within(a: str | list[str], b: str | list[str], k: int) -> bool:
     return distance <= k
 
 
+def _alike(a: str, b: str, a_words: list[str], b_words: list[str]) -> bool:
+    """Whether two strings, the shorter one first, join by characters or by words."""
+    k = edits(len(a))
+    if k >= 0 and max(len(a_words), len(b_words)) < BY_WORDS and within(a, b, k):
+        return True
+    k = word_edits(min(len(a_words), len(b_words)))
+    return k >= 0 and within(a_words, b_words, k)
+
+
 def join(texts: list[str]) -> list[int]:
     """The component of each string, as the place of one of its strings."""
     order = sorted(range(len(texts)), key=lambda i: (len(texts[i]), texts[i]))
@@ -200,6 +222,12 @@ def join(texts: list[str]) -> list[int]:
         return i
 
     words = [t.split() for t in texts]
+    if len(texts) <= FEW:
+        for n, i in enumerate(order):
+            for j in order[:n]:
+                if find(i) != find(j) and _alike(texts[j], texts[i], words[j], words[i]):
+                    root[find(i)] = find(j)
+        return [find(i) for i in range(len(texts))]
     index: dict[int, list[int]] = {}
     for i in order:
         if len(words[i]) >= BY_WORDS:

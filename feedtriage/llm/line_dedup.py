@@ -79,6 +79,13 @@ def _frequent(docs: DataFrame) -> np.ndarray:
     return np.sort(np.array([r.key for r in top.collect()], np.int64))
 
 
+def _among(keys: np.ndarray, ordered: np.ndarray) -> np.ndarray:
+    """Which keys are in ``ordered``, which is not sorted again for each batch as np.isin does."""
+    if not len(ordered):
+        return np.zeros(len(keys), bool)
+    return ordered[np.minimum(np.searchsorted(ordered, keys), len(ordered) - 1)] == keys
+
+
 def _clusters(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """(doc_id, cluster): doc_id is the hash of a line that shares a key with another."""
     shared = docs.sparkSession.sparkContext.broadcast(_frequent(docs))
@@ -87,7 +94,7 @@ def _clusters(docs: DataFrame, scratch: Scratch) -> DataFrame:
         frequent, seen = shared.value, set()
         for _, texts in text_batches(batches, "text"):
             ids, keys = _keys_of(texts, seen)
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(keys), pa.array(np.isin(keys, frequent))], ["a", "key", "hot"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(keys), pa.array(_among(keys, frequent))], ["a", "key", "hot"])
 
     rows = docs.select("text").mapInArrow(run, "a long, key long, hot boolean")
     salt = F.when(F.col("hot"), F.pmod(F.xxhash64("a"), F.lit(SALTS))).otherwise(0)
@@ -151,10 +158,10 @@ def dedup_lines(docs: DataFrame, most: float = 1.0) -> DataFrame:
     home = classed.where(~sole).groupBy("component").agg(F.min("first").alias("home"))
     classed = (classed.where(~sole).join(home, "component").select("h1", "h2", F.col("component").alias("line_class"), "home")
                .unionByName(classed.where(sole & (F.col("n") > 1)).select("h1", "h2", F.col("h1").alias("line_class"), F.col("first").alias("home"))))
-    hits = _lines(plain).select("doc_id", "h1", "h2").distinct().join(classed, ["h1", "h2"])
+    hits = _lines(plain).select("doc_id", "h1", "h2").join(classed, ["h1", "h2"])
     # In its home a class stays once, elsewhere not at all: null stands for that.
     entry = F.struct("h1", F.when(F.col("home") == F.col("doc_id"), F.col("line_class")).alias("line_class"))
-    wanted = hits.groupBy("doc_id").agg(F.collect_list(entry).alias("lines"))
+    wanted = hits.groupBy("doc_id").agg(F.collect_set(entry).alias("lines"))
     return _rebuilt(docs, wanted, most)
 
 

@@ -218,3 +218,42 @@ def test_lines_within_their_edits_of_words_share_a_key():
             met += 1
     assert met > 1000
     assert len(edit_join.word_keys([["few"], []])[1]) == 0
+
+
+def test_far_strings_are_told_apart_by_their_first_items():
+    looked = []
+
+    class Word(str):
+        def __hash__(self):
+            looked.append(self)
+            return str.__hash__(self)
+
+    a, b = [Word(f"a{i}") for i in range(5_000)], [Word(f"b{i}") for i in range(5_000)]
+    assert not edit_join.within(a, b, 3) and len(looked) < 100
+
+
+def test_keys_are_marked_without_sorting_the_frequent_ones():
+    keys = np.array([5, -3, 7, 9, -3], np.int64)
+    for frequent in ([], [-3], [-9, 5, 9], [8], [10, 11]):
+        frequent = np.array(frequent, np.int64)
+        assert line_dedup._among(keys, frequent).tolist() == np.isin(keys, frequent).tolist()
+
+
+def test_few_strings_join_without_keys_as_with_them(monkeypatch):
+    rng = random.Random(5)
+    pool = [f"word{i}" for i in range(300)]
+    for _ in range(150):
+        base, lines = [rng.choice(pool) for _ in range(rng.choice([6, 20, 41, 80, 82, 100]))], set()
+        for _ in range(rng.randint(1, 9)):
+            line = list(base)
+            for _ in range(rng.randint(0, 6)):
+                at = rng.randrange(len(line))
+                line[at:at + rng.randint(0, 1)] = rng.choice([[], [rng.choice(pool)], [line[at] + "y"]])
+                line = line or ["x"]
+            lines.add(" ".join(line))
+        lines, found = sorted(lines), []
+        for few in (0, 16):
+            monkeypatch.setattr(edit_join, "FEW", few)
+            roots = edit_join.join(lines)
+            found.append([roots.index(r) for r in roots])
+        assert found[0] == found[1]
