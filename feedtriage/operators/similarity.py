@@ -37,7 +37,10 @@ _WHITE = r"[\x20\x09-\x0D]+"
 
 def word_hashes(text: Column) -> Column:
     """Hashes of the words of a text, in order; A-Z count as lower case, null as empty."""
-    lower = F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    text = F.coalesce(text, F.lit(""))
+    # in a text of one byte a character lower() changes the same letters, and costs less
+    lower = F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(
+        F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
     words = F.filter(F.split(lower, _WHITE), lambda w: w != "")
     return F.transform(words, lambda w: F.xxhash64(w))
 
@@ -55,25 +58,28 @@ def shingle_sets(words: pa.ListArray, n: int) -> tuple[np.ndarray, np.ndarray]:
     counts = np.asarray(words.value_lengths().fill_null(0), np.int64)
     hashes = words.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
     factors = _mixed(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
-    at, sets = 0, []
-    for count in counts.tolist():
-        own = hashes[at:at + count]
-        at += count
-        m = count - n + 1
-        if m >= 1:
-            rolled = own[:m] * factors[0]
-            for k in range(1, n):
-                rolled = rolled * np.uint64(31) + own[k:k + m] * factors[k]
-            sets.append(np.unique(_mixed(rolled)))
-        elif count:
-            whole = np.array([count], np.uint64)
-            for k in range(count):
-                whole = whole * np.uint64(31) + own[k:k + 1]
-            sets.append(_mixed(whole))
-        else:
-            sets.append(np.zeros(0, np.uint64))
-    sizes = np.array([len(s) for s in sets], np.int64)
-    return (np.concatenate(sets) if sets else np.zeros(0, np.uint64)), sizes
+    room = np.where(counts >= n, counts - n + 1, np.minimum(counts, 1))
+    starts, ends = np.cumsum(counts) - counts, np.cumsum(room)
+    owner = np.repeat(np.arange(len(counts)), room)
+    first = starts[owner] + np.arange(len(owner)) - (ends - room)[owner]
+    values = np.zeros(len(owner), np.uint64)
+    whole = counts[owner] >= n
+    first = first[whole]
+    if len(first):  # all texts at once
+        rolled = hashes[first] * factors[0]
+        for k in range(1, n):
+            rolled = rolled * np.uint64(31) + hashes[first + k] * factors[k]
+        values[whole] = _mixed(rolled)
+    for i in np.flatnonzero((counts > 0) & (counts < n)).tolist():
+        short = np.array([counts[i]], np.uint64)
+        for k in range(counts[i]):
+            short = short * np.uint64(31) + hashes[starts[i] + k:starts[i] + k + 1]
+        values[ends[i] - 1:ends[i]] = _mixed(short)
+    for low, high in zip((ends - room).tolist(), ends.tolist()):
+        values[low:high].sort()
+    new = np.ones(len(values), bool)
+    new[1:] = (values[1:] != values[:-1]) | (owner[1:] != owner[:-1])
+    return values[new], np.bincount(owner[new], minlength=len(counts)).astype(np.int64)
 
 
 def band_keys(values: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -81,7 +87,7 @@ def band_keys(values: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.nda
     and one bit of each minimum, in words of 64.
 
     A minimum is taken over the set's values under one multiplication modulo 2^64, an odd
-    factor a hash; all sets are reduced at once.
+    factor a hash; all sets are reduced at once, in the same two arrays.
     """
     starts = (np.cumsum(sizes) - sizes)[sizes > 0]
     rng = np.random.default_rng(20240201)
@@ -89,11 +95,13 @@ def band_keys(values: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.nda
     bits = np.zeros((len(starts), -(-BANDS * DEEP // 64)), np.uint64)
     if not len(starts):
         return keys.reshape(0, 2 * BANDS).view(np.int64), bits.view(np.int64)
+    spread, folded = np.empty_like(values), np.empty_like(values)
     for band in range(BANDS):
         key = np.full(len(starts), np.uint64(band + 1))
         for row, factor in enumerate(rng.integers(1, 2 ** 63, DEEP, np.uint64) * np.uint64(2) + np.uint64(1)):
-            spread = values * factor
-            least = np.minimum.reduceat(spread ^ (spread >> np.uint64(32)), starts)
+            np.multiply(values, factor, out=spread)
+            np.right_shift(spread, np.uint64(32), out=folded)
+            least = np.minimum.reduceat(np.bitwise_xor(spread, folded, out=folded), starts)
             key = _mixed(key * np.uint64(31) + least)
             word, place = divmod(band * DEEP + row, 64)
             bits[:, word] |= (least & np.uint64(1)) << np.uint64(place)
@@ -110,7 +118,11 @@ def most_differing(threshold: float) -> int:
     return math.floor(n * differs + 5 * math.sqrt(n * differs * (1 - differs)))
 
 
-def _bounded(batches, most: int = 500_000):
+#: Words worked on at once: their arrays fit a core's cache, which the hashes of a signature pass often.
+SLICE_WORDS = 40_000
+
+
+def _bounded(batches, most: int = SLICE_WORDS):
     """Slices of Arrow batches with a bounded number of words; a longer text is alone."""
     for batch in batches:
         counts = np.cumsum(np.asarray(batch.column("words").value_lengths().fill_null(0), np.int64))
@@ -127,22 +139,17 @@ def text_signatures(rows: DataFrame, text_col: str, n: int = WORDS) -> DataFrame
     def run(batches):
         for batch in _bounded(batches):
             values, sizes = shingle_sets(batch.column("words"), n)
-            (keys, bits), k = band_keys(values, sizes), 0
-            ends = np.cumsum(sizes)
-            digests, lists, sketches = [], [], []
-            for end, size in zip(ends.tolist(), sizes.tolist()):
-                own = values[end - size:end]
-                if size:  # two sums of mixed values, of a set in any order
-                    digests.append(_mixed(own).sum().astype("<u8").tobytes() + _mixed(own ^ np.uint64(0x5555555555555555)).sum().astype("<u8").tobytes())
-                    lists.append(keys[k])
-                    sketches.append(bits[k])
-                    k += 1
-                else:
-                    digests.append(None)
-                    lists.append(None)
-                    sketches.append(None)
+            keys, bits = band_keys(values, sizes)
+            none, starts = pa.array(sizes == 0), (np.cumsum(sizes) - sizes)[sizes > 0]
+            digests = np.zeros((len(sizes), 2), "<u8")
+            if len(starts):  # two sums of mixed values, of a set in any order
+                digests[sizes > 0, 0] = np.add.reduceat(_mixed(values), starts)
+                digests[sizes > 0, 1] = np.add.reduceat(_mixed(values ^ np.uint64(0x5555555555555555)), starts)
+            digests = [d.tobytes() if size else None for d, size in zip(digests, sizes.tolist())]
+            before = np.append(0, np.cumsum(sizes > 0))
+            lists = lambda rows: pa.ListArray.from_arrays(pa.array((before * rows.shape[1]).astype(np.int32)), pa.array(rows.reshape(-1)), mask=none)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("side"), batch.column("id"), pa.array(sizes), pa.array(digests, pa.binary()), pa.array(lists, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64()))],
+                [batch.column("side"), batch.column("id"), pa.array(sizes), pa.array(digests, pa.binary()), lists(keys), lists(bits)],
                 ["side", "id", "size", "digest", "keys", "bits"])
 
     words = rows.select("side", "id", word_hashes(F.col(text_col)).alias("words"))
@@ -259,6 +266,9 @@ class Blocked:
     the blocks a row lies in) and probes (of those it looks in).
     """
 
+    #: Whether there are no records, and probes are the stored keys.
+    items_only = False
+
     def __init__(self, rows: DataFrame, scratch: Scratch):
         self.scratch = scratch
         self.rows = scratch.save(rows, "blocked")
@@ -267,6 +277,25 @@ class Blocked:
         """links(id, side, other, score) of the pairs(id, side, other) that are similar."""
         raise NotImplementedError
 
+    def _met(self, blocks: DataFrame) -> DataFrame:
+        """(id, side, other): a row, and the leader of a block in which it looks."""
+        held = blocks.select("side", "id", F.explode("stored").alias("key"))
+        first_of = lambda side: F.min(F.when(F.col("side") == side, F.col("id")))
+        leaders = held.groupBy("key").agg(first_of(ITEM).alias("item"), first_of(RECORD).alias("record"))
+        asked = blocks.where(F.col("side") == ITEM).select("id", F.explode("probes").alias("key"))
+        both = F.array(F.struct(F.lit(ITEM).alias("side"), F.when(F.col("item") < F.col("id"), F.col("item")).alias("other")),
+                       F.struct(F.lit(RECORD).alias("side"), F.col("record").alias("other")))
+        return (asked.join(leaders, "key").where((F.col("item") < F.col("id")) | F.col("record").isNotNull())
+                .select("id", F.explode(both).alias("x")).select("id", "x.*").where(F.col("other").isNotNull()))
+
+    def _met_items(self, blocks: DataFrame) -> DataFrame:
+        """The same where items look in their own blocks only and there are no records: rows are
+        dealt by block once, and the leaders are found where they lie."""
+        dealt = (blocks.select("id", F.explode("stored").alias("key")).where(F.col("id").isNotNull() & F.col("key").isNotNull())
+                 .repartition("key"))
+        leaders = dealt.groupBy("key").agg(F.min("id").alias("other"))
+        return dealt.join(leaders, "key").where("other < id").select("id", F.lit(ITEM).alias("side"), "other")
+
     def links(self, among: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
         """(classes, links) of all rows, or of the records and the items ``among`` (id).
 
@@ -281,14 +310,7 @@ class Blocked:
         classes = scratch.save(rows.select("side", "id", "digest").join(first, ["side", "digest"]), "classes")
         heads = classes.where("id = class_id").select("side", "id", "digest")
         blocks = rows.join(heads.select("side", "id"), ["side", "id"], "left_semi")
-        held = blocks.select("side", "id", F.explode("stored").alias("key"))
-        first_of = lambda side: F.min(F.when(F.col("side") == side, F.col("id")))
-        leaders = held.groupBy("key").agg(first_of(ITEM).alias("item"), first_of(RECORD).alias("record"))
-        asked = blocks.where(F.col("side") == ITEM).select("id", F.explode("probes").alias("key"))
-        both = F.array(F.struct(F.lit(ITEM).alias("side"), F.when(F.col("item") < F.col("id"), F.col("item")).alias("other")),
-                       F.struct(F.lit(RECORD).alias("side"), F.col("record").alias("other")))
-        met = (asked.join(leaders, "key").where((F.col("item") < F.col("id")) | F.col("record").isNotNull())
-               .select("id", F.explode(both).alias("x")).select("id", "x.*").where(F.col("other").isNotNull()))
+        met = self._met_items(blocks) if self.items_only else self._met(blocks)
         pairs = scratch.save(met.distinct(), "pairs")
         mine = heads.where(F.col("side") == ITEM).select("digest", "id")
         stored = heads.where(F.col("side") == RECORD).select("digest", F.col("id").alias("other"))
@@ -307,6 +329,7 @@ class Texts(Blocked):
     def __init__(self, items: DataFrame, candidates: DataFrame | None, column: str = "text",
                  threshold: float = JACCARD, n: int = WORDS, scratch: Scratch | None = None):
         self.threshold, self.n, self.texts = threshold, n, _two_sides(items, candidates, column)
+        self.items_only = candidates is None
         signed = text_signatures(self.texts, "content", n).where(F.col("size") > 0)
         super().__init__(signed.withColumnRenamed("keys", "stored").withColumn("probes", F.col("stored")),
                          scratch or Scratch(items.sparkSession, "jaccard"))

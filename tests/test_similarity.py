@@ -232,3 +232,27 @@ def test_an_uncommitted_batch_of_answers_does_not_count(spark, tmp_path):
     root = f"{tmp_path}/cache"
     spark.createDataFrame([("k", True)], "key string, same boolean").write.parquet(f"{root}/answers/batch=half")
     assert pair_model.cached_answers(spark, root).count() == 0
+
+
+def test_shingle_sets_of_many_texts_at_once():
+    """Against sets made one by one, with nulls, empty and short texts, repeats and a slice."""
+    import pyarrow as pa
+    rng = random.Random(3)
+    texts = [None, [], [1], [1, 2], [1, 2, 3, 1, 2, 3, 1, 2, 3]] + [[rng.randint(-2, 2) for _ in range(rng.randint(0, 12))] for _ in range(60)]
+    together, sizes = S.shingle_sets(pa.array(texts, pa.list_(pa.int64())).slice(1), 3)
+    alone = [S.shingle_sets(pa.array([t], pa.list_(pa.int64())), 3)[0] for t in texts[1:]]
+    assert sizes.tolist() == [len(x) for x in alone] and together.tolist() == [v for x in alone for v in x.tolist()]
+    for t, values in zip(texts[1:], alone):
+        assert len(values) == (len({tuple(t[i:i + 3]) for i in range(len(t) - 2)}) if len(t) >= 3 else min(len(t), 1))
+        assert (np.diff(values.astype(object)) > 0).all()
+
+
+def test_rows_are_dealt_by_block_once(spark):
+    """Without records one shuffle serves the leaders and the rows that look for them."""
+    texts = ["A b c d e f g h i j", "a b c d e f g h i j", "a b c d e f g h i É", "a b c d e f g h i é", None, ""]
+    rows = S.Texts(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "seq long, text string"), None, threshold=0.1)
+    met = rows._met_items(rows.rows)
+    assert sorted(met.collect()) == sorted(rows._met(rows.rows).select("id", "side", "other").collect())
+    assert met.groupBy("id").count().count() == 3
+    plan = met._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("Exchange hashpartitioning") - plan.count("ReusedExchange") <= 1 or "ReusedExchange" in plan
