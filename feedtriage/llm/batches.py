@@ -4,21 +4,26 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Characters of text handled at once; a longer text is handled alone.
 CHARS = 2_000_000
+#: The same where the work takes many times the size of its texts.
+FEWER_CHARS = 500_000
 
 
 def text_batches(batches: Iterator[pa.RecordBatch], column: str, chars: int = CHARS) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """Slices of the batches with their texts; null counts as empty."""
     for batch in batches:
-        texts = [t or "" for t in batch.column(column).to_pylist()]
-        start, size = 0, 0
-        for i, text in enumerate(texts):
-            if size and size + len(text) > chars:
-                yield batch.slice(start, i - start), texts[start:i]
-                start, size = i, 0
-            size += len(text)
-        if start < len(texts):
-            yield batch.slice(start), texts[start:]
+        texts = batch.column(column)
+        ends = np.cumsum(pc.fill_null(pc.utf8_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        start = 0
+        while start < len(texts):
+            before = ends[start - 1] if start else 0
+            # Texts without characters before the first one with some come with it.
+            stop = max(int(np.searchsorted(ends, before + chars, side="right")), int(np.searchsorted(ends, before, side="right")) + 1)
+            stop = min(stop, len(texts))
+            yield batch.slice(start, stop - start), [t or "" for t in texts.slice(start, stop - start).to_pylist()]
+            start = stop

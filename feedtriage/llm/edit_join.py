@@ -22,6 +22,8 @@ from itertools import chain
 import numpy as np
 import xxhash
 
+from feedtriage.llm.shingles import mix
+
 #: Strings shorter than this join with nothing; of SECOND or more they may differ by two edits.
 SHORTEST, SECOND = 40, 200
 #: Strings of so many words or more may differ in one word of as many.
@@ -31,9 +33,19 @@ TWENTIETH = 20
 GRAM = 8
 #: From so many words on, two edits of characters are within those of words for both strings.
 BY_WORDS = 82
+#: From so many words on, strings within two edits of characters share a run of words that both choose from.
+BY_RUNS = 40
+#: Characters of which the keys are made at once: their sums fit a core's cache.
+SLICE = 100_000
 #: So many strings or fewer are compared with each other without keys.
 FEW = 16
 
+_BASE, _INVERSE = np.uint64(0x9E3779B97F4A7C15), np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+#: Values of characters by their lower bits; such a key may be equal by chance, which costs a comparison.
+_CODE = mix(np.arange(1, (1 << 16) + 1, dtype=np.uint64))
+#: Whether str.split() splits there; the last one stands for all characters beyond.
+_WHITE = np.array([chr(c).isspace() for c in range(0x3002)])
+
 
 def edits(length: int) -> int:
     """Edits allowed between strings whose shorter one has this length; -1: no join."""
@@ -96,25 +108,50 @@ def run_length(n_words: int) -> int:
                for m in range(shortest, n_words + 1) if m + word_edits(m) >= n_words)
 
 
-def word_keys(lines: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the lines, ascending, and the hashes of their chosen runs of words; none
-    for lines of too few words. A run that a line repeats may come more than once. All lines
-    are worked on at once."""
-    taking = [i for i, words in enumerate(lines) if word_edits(len(words)) >= 0]
-    if not taking:
+@lru_cache(maxsize=100_000)
+def common_run(n_words: int) -> int:
+    """``run_length``, or less where lines of so many words have no keys but those of runs.
+    An edit of characters changes two words at most, so m words with two edits leave m - 4
+    in three runs; the other string has two words less at most."""
+    return min(run_length(n_words), -(-(n_words - 6) // 3)) if n_words >= BY_RUNS - 2 else run_length(n_words)
+
+
+@lru_cache(maxsize=1)
+def _kept_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    powers, back = np.full(n, _BASE), np.full(n, _INVERSE)
+    powers[0] = back[0] = 1
+    return np.multiply.accumulate(powers), np.multiply.accumulate(back)
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of the base, or some more, and their inverses."""
+    return _kept_powers(2 * SLICE) if n <= 2 * SLICE else _kept_powers.__wrapped__(n)
+
+
+def _sums(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of values by powers, and the inverse powers: a stretch's hash is the difference
+    of two sums, divided by the power at its start, so it does not depend on its place."""
+    powers, back = _powers(len(values) + 1)
+    sums = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(values * powers[:len(values)], out=sums[1:])
+    return sums, back
+
+
+def _chosen(own: np.ndarray, sizes: np.ndarray, run) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the lines, ascending, and the hashes of their chosen runs of words. ``own``
+    has the hashes of the words, line after line, ``sizes`` the number of each line's, and
+    ``run`` gives the words of a shared run."""
+    taking = np.array([i for i, k in enumerate(sizes.tolist()) if word_edits(k) >= 0], np.int64)
+    if not len(taking):
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    taking.sort(key=lambda i: run_length(len(lines[i])))
-    sizes = np.array([len(lines[i]) for i in taking])
-    widths = np.array([run_length(k) - GRAM + 1 for k in sizes.tolist()])
-    words = list(chain.from_iterable(lines[i] for i in taking))
-    known = {w: xxhash.xxh64_intdigest(w) for w in set(words)}
-    own = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-    n = len(words) - GRAM + 1
-    grams = np.zeros(n, np.uint64)
-    for i in range(GRAM):
-        grams = (grams ^ own[i:i + n]) * np.uint64(0x9E3779B97F4A7C15)
-        grams ^= grams >> np.uint64(29)
+    widths = np.array([run(k) - GRAM + 1 for k in sizes[taking].tolist()])
+    order = np.argsort(widths, kind="stable")
+    firsts = (np.cumsum(sizes) - sizes)[taking[order]]
+    taking, widths, sizes = taking[order], widths[order], sizes[taking[order]]
     ends = np.cumsum(sizes)
+    sums, back = _sums(own[np.repeat(firsts - ends + sizes, sizes) + np.arange(ends[-1])])
+    n = int(ends[-1]) - GRAM + 1
+    grams = mix((sums[GRAM:] - sums[:-GRAM]) * back[:n])
     owner = np.repeat(np.arange(len(taking)), sizes)[:n]
     found = np.zeros(n, np.uint64)
     stops = np.searchsorted(widths, widths, side="right")
@@ -129,24 +166,72 @@ def word_keys(lines: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
             wide += step
         found[low:low + len(least)] = least
         first = stop
-    # A window must end in its own line.
-    whole = np.arange(n) + widths[owner] + GRAM - 1 <= ends[owner]
-    owner, found = owner[whole], found[whole]
-    new = np.ones(len(found), bool)  # following windows mostly choose the same run
+    # Following windows mostly choose the same run. A window must end in its own line.
+    new = np.ones(n, bool)
     new[1:] = (owner[1:] != owner[:-1]) | (found[1:] != found[:-1])
-    places, found = np.array(taking, np.int64)[owner[new]], found[new]
+    new &= np.arange(n) + np.repeat(widths + GRAM - 1, sizes)[:n] <= np.repeat(ends, sizes)[:n]
+    places, found = taking[owner[new]], found[new]
     order = np.argsort(places, kind="stable")
     return places[order], found[order]
 
 
+def word_keys(lines: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the lines, ascending, and the hashes of their chosen runs of words; none
+    for lines of too few words. A run that a line repeats may come more than once. All lines
+    are worked on at once."""
+    words = list(chain.from_iterable(lines))
+    known = {w: xxhash.xxh64_intdigest(w) for w in set(words)}
+    own = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+    return _chosen(own, np.array([len(x) for x in lines], np.int64), run_length)
+
+
+@lru_cache(maxsize=20_000)
+def _probe_table(n: int, shortest: int, second: int) -> np.ndarray:
+    """The starts, the ends and the seeds of ``probes``."""
+    return np.array(probes(n, shortest, second), np.int64).reshape(-1, 3).T
+
+
+def _slices(lines: list[str]) -> Iterator[tuple[int, list[str]]]:
+    """Lines of SLICE characters or little more, with the place of the first; a long line may be alone."""
+    start, size = 0, 0
+    for i, line in enumerate(lines):
+        if size and size + len(line) >= SLICE:
+            yield start, lines[start:i]
+            start, size = i, 0
+        size += len(line) + 1
+    if lines:
+        yield start, lines[start:]
+
+
+def _slice_keys(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    sizes = np.array([len(x) for x in lines], np.int64)
+    firsts = np.cumsum(sizes + 1) - sizes - 1
+    codes = np.frombuffer(("\n".join(lines) + "\n").encode("utf-32-le", "surrogatepass"), "<u4")
+    sums, back = _sums(_CODE[codes & 0xFFFF])
+    white = np.ones(len(codes) + 1, bool)
+    white[1:] = _WHITE[np.minimum(codes, len(_WHITE) - 1)]
+    turns = np.flatnonzero(white[1:] != white[:-1])
+    starts, ends = turns[::2], turns[1::2]
+    n_words = np.diff(np.searchsorted(starts, np.append(firsts, len(codes))))
+    places, keys = _chosen(mix((sums[ends] - sums[starts]) * back[starts]), n_words, common_run)
+    probing = np.flatnonzero((n_words < BY_RUNS) & (sizes >= SHORTEST))
+    if not len(probing):
+        return places, keys
+    tables = [_probe_table(n, SHORTEST, SECOND) for n in sizes[probing].tolist()]
+    owner = np.repeat(probing, [t.shape[1] for t in tables])
+    low, high, seeds = np.concatenate(tables, axis=1)
+    low, high = low + firsts[owner], high + firsts[owner]
+    probed = mix((sums[high] - sums[low]) * back[low] ^ mix(seeds.astype(np.uint64)))
+    return np.concatenate([places, owner]), np.concatenate([keys, probed])
+
+
 def keys_of(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the lines and their keys, of which two lines that join share one."""
-    words = [x.split() for x in lines]
-    places, keys = word_keys(words)
-    short = [probe_keys(x) if len(w) < BY_WORDS else () for x, w in zip(lines, words)]
-    more = np.fromiter(chain.from_iterable(short), np.uint64)
-    return (np.concatenate([places, np.repeat(np.arange(len(lines)), [len(k) for k in short])]),
-            np.concatenate([keys, more]))
+    """Places of the lines and their keys, of which two lines that join share one. Lines of
+    fewer words than BY_RUNS have those of ``probes``, all others of runs of words only."""
+    found = [(start + places, keys) for start, part in _slices(lines) for places, keys in [_slice_keys(part)]]
+    none = [(np.zeros(0, np.int64), np.zeros(0, np.uint64))]
+    places, keys = zip(*(found or none))
+    return np.concatenate(places), np.concatenate(keys)
 
 
 def all_keys(text: str) -> set[int]:

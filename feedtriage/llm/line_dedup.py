@@ -5,7 +5,7 @@
 2. Longer lines emit the keys of the segment-partition edit join: their own segments and
    those of their substrings that lines of fitting length may own, and runs of words of
    which lines share one whose edits of words are few for their length. Lines that share
-   a key form clusters; keys that a sample shows to be frequent are dealt over salts.
+   a key form clusters. Keys are shuffled in blocks, packed by tasks.
 3. Clusters are joined by that edit join, at most two chunks at a time, and verified.
 4. The distinct lines of a component are one class. Its lines stay in the smallest
    document that holds one, the first time there, and go from all other places.
@@ -18,18 +18,20 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from feedtriage.llm import edit_join
-from feedtriage.llm.batches import text_batches
+from feedtriage.llm.batches import FEWER_CHARS, text_batches
 from feedtriage.llm.components import connected_components
-from feedtriage.llm.ngram_join import SALTS, SAMPLE, joined
+from feedtriage.llm.ngram_join import joined
 from feedtriage.scratch import Scratch
 
 #: Shorter lines always stay: short sentences recur in clean texts.
 MIN_CHARS = 20
-#: A key that a sample of SAMPLE texts holds more often is frequent; kept at most.
-FREQUENT, FREQUENT_KEPT = 8, 500_000
+#: Characters of lines whose keys make one block: about 400,000 keys of prose.
+BLOCK_CHARS = 16_000_000
+#: Keys that a task combines before it sends them.
+HELD = 500_000
 #: Lines of which a task knows that their keys are out; then it forgets them all.
 SEEN = 500_000
 #: Bits of the table that says which lines may be in a cluster. Its size is fixed; more
@@ -54,29 +56,14 @@ def _lines(docs: DataFrame) -> DataFrame:
 
 
 def _keys_of(texts: list[str], seen: set[int]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the lines that are not in ``seen``, which grows by them, each beside its keys."""
+    """Keys of the lines that are not in ``seen``, which grows by their hashes, each beside the line's hash."""
     lines = {line_hash(x): x for x in {x for t in texts for x in t.split("\n") if len(x) >= edit_join.SHORTEST}}
     lines = {h: x for h, x in lines.items() if h not in seen}
     seen.update(lines)
     if len(seen) > SEEN:
         seen.clear()
     places, keys = edit_join.keys_of(list(lines.values()))
-    return _signed(list(lines))[places], keys.view(np.int64)
-
-
-def _frequent(docs: DataFrame) -> np.ndarray:
-    """Keys that are frequent in a sample by id. They steer cost only: where their rows are dealt to."""
-    every = max(1, docs.count() // SAMPLE)
-    sample = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0).select("text")
-
-    def run(batches):
-        for _, texts in text_batches(batches, "text"):
-            keys, n = np.unique(_keys_of(texts, set())[1], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], ["key", "n"])
-
-    top = (sample.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-           .where(F.col("n") > FREQUENT).orderBy(F.desc("n"), "key").limit(FREQUENT_KEPT).select("key"))
-    return np.sort(np.array([r.key for r in top.collect()], np.int64))
+    return keys, _signed(list(lines))[places]
 
 
 def _among(keys: np.ndarray, ordered: np.ndarray) -> np.ndarray:
@@ -86,30 +73,71 @@ def _among(keys: np.ndarray, ordered: np.ndarray) -> np.ndarray:
     return ordered[np.minimum(np.searchsorted(ordered, keys), len(ordered) - 1)] == keys
 
 
-def _clusters(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """(doc_id, cluster): doc_id is the hash of a line that shares a key with another."""
-    shared = docs.sparkSession.sparkContext.broadcast(_frequent(docs))
-
-    def run(batches):
-        frequent, seen = shared.value, set()
-        for _, texts in text_batches(batches, "text"):
-            ids, keys = _keys_of(texts, seen)
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(keys), pa.array(_among(keys, frequent))], ["a", "key", "hot"])
-
-    rows = docs.select("text").mapInArrow(run, "a long, key long, hot boolean")
-    salt = F.when(F.col("hot"), F.pmod(F.xxhash64("a"), F.lit(SALTS))).otherwise(0)
-    least = F.min("a").over(Window.partitionBy("key", "salt"))
-    dealt = rows.withColumn("salt", salt).select("a", least.alias("b"), F.when(F.col("hot"), F.col("key")).alias("key"))
-    dealt = scratch.save(dealt.where("a <> b or key is not null"), "shared")
-    firsts = dealt.where("key is not null and a = b").select("a", "key").distinct()
-    links = dealt.where("a <> b").select("a", "b").unionByName(
-        firsts.select("a", F.min("a").over(Window.partitionBy("key")).alias("b")))
+def _runs(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct keys, ascending, and the smallest id of each; and the links (a, b) of the
+    other ids of a key with the smallest, each once."""
+    if not len(keys):
+        return keys, ids, ids, ids
+    order = np.argsort(keys)
+    keys, ids = keys[order], ids[order]
+    firsts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+    least = np.minimum.reduceat(ids, firsts)
+    every = np.repeat(least, np.diff(np.append(firsts, len(keys))))
+    a, b = ids[ids != every], every[ids != every]
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    new = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))[:len(a)]
+    return keys[firsts], least, a[new], b[new]
+
+
+def _clusters(docs: DataFrame, chars: int, scratch: Scratch) -> DataFrame:
+    """(doc_id, cluster): doc_id is the hash of a line that shares a key with another.
+
+    A task links those of its lines that share a key, and sends each key once for some HELD
+    keys, with the smallest line. So no key has many rows in one place, however frequent it is.
+    Keys go in blocks by their upper bits, of which ``chars``, the characters of all lines,
+    gives the number.
+    """
+    blocks = 1 + chars // BLOCK_CHARS
+    edges = np.array([(k << 64) // blocks for k in range(1, blocks)], np.uint64)
+
+    def packed(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        keys, ids, a, b = _runs(*map(np.concatenate, zip(*held)))
+        at = np.concatenate([[0], np.searchsorted(keys, edges), [len(keys)]])
+        filled = np.flatnonzero(np.diff(at))
+        cuts = pa.py_buffer((8 * np.append(at[filled], len(keys))).astype(np.int32))
+        columns = [pa.Array.from_buffers(pa.binary(), len(filled), [None, cuts, pa.py_buffer(x)]) for x in (keys, ids)]
+        links = [np.concatenate([a, b]).tobytes()] + [b""] * (len(filled) - 1)  # with any one of the blocks
+        return pa.RecordBatch.from_arrays([pa.array(filled, pa.int32()), *columns, pa.array(links, pa.binary())],
+                                          ["block", "keys", "ids", "links"])
+
+    def send(batches):
+        seen, held, n = set(), [], 0
+        for _, texts in text_batches(batches, "text", FEWER_CHARS):
+            found = _keys_of(texts, seen)
+            if len(found[0]):
+                held.append(found)
+                n += len(found[0])
+            if n >= HELD:
+                yield packed(held)
+                held, n = [], 0
+        if held:
+            yield packed(held)
+
+    def meet(table: pa.Table) -> pa.Table:
+        keys, ids = (np.frombuffer(b"".join(table.column(c).to_pylist()), kind) for c, kind in (("keys", np.uint64), ("ids", np.int64)))
+        pairs = [np.frombuffer(x, np.int64).reshape(2, -1) for x in table.column("links").to_pylist()]
+        a, b = np.concatenate([*pairs, np.stack(_runs(keys, ids)[2:])], axis=1)
+        return pa.table({"a": a, "b": b})
+
+    sent = docs.select("text").mapInArrow(send, "block int, keys binary, ids binary, links binary")
+    links = sent.groupBy("block").applyInArrow(meet, "a long, b long")
     return connected_components(links, scratch).select(F.col("node").alias("doc_id"), F.col("component").alias("cluster"))
 
 
-def _near_lines(docs: DataFrame, scratch: Scratch) -> DataFrame:
+def _near_lines(docs: DataFrame, chars: int, scratch: Scratch) -> DataFrame:
     """(node, component): hashes of lines, united by verified edits."""
-    clusters = scratch.save(_clusters(docs, scratch), "clusters")
+    clusters = scratch.save(_clusters(docs, chars, scratch), "clusters")
     words = (clusters.select(F.pmod(F.col("doc_id"), F.lit(FILTER_BITS)).cast("int").alias("slot"))
              .selectExpr("shiftright(slot, 5) as word", "shiftleft(1, slot % 32) as bit").groupBy("word").agg(F.bit_or("bit").alias("bits")).collect())  # FILTER_BITS / 32 rows at most
     table = np.zeros(FILTER_BITS // 32, np.uint32)
@@ -119,13 +147,12 @@ def _near_lines(docs: DataFrame, scratch: Scratch) -> DataFrame:
 
     def run(batches):
         table = shared.value
-        for _, texts in text_batches(batches, "text"):
-            kept = {}
-            for line in {x for t in texts for x in t.split("\n") if len(x) >= edit_join.SHORTEST}:
-                h = line_hash(line)
-                if table[h % FILTER_BITS >> 5] >> np.uint32(h % 32) & np.uint32(1):
-                    kept[h, line] = None
-            yield pa.RecordBatch.from_arrays([pa.array(_signed([h for h, _ in kept])), pa.array([x for _, x in kept], pa.string())],
+        for _, texts in text_batches(batches, "text", FEWER_CHARS):
+            lines = list({x for t in texts for x in t.split("\n") if len(x) >= edit_join.SHORTEST})
+            ids = np.fromiter(map(line_hash, lines), np.uint64, len(lines))
+            slots = (ids % np.uint64(FILTER_BITS)).astype(np.int64)
+            kept = np.flatnonzero(table[slots >> 5] >> (slots & 31).astype(np.uint32) & np.uint32(1))
+            yield pa.RecordBatch.from_arrays([pa.array(ids[kept].view(np.int64)), pa.array([lines[i] for i in kept.tolist()], pa.string())],
                                              ["doc_id", "text"])
 
     lines = docs.select("text").mapInArrow(run, "doc_id long, text string")
@@ -149,16 +176,17 @@ def dedup_lines(docs: DataFrame, most: float = 1.0) -> DataFrame:
     spark = docs.sparkSession
     scratch = Scratch(spark, "line-dedup")
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    distinct = (_lines(plain).groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")))
-    distinct = scratch.save(distinct, "lines")
-    near = scratch.save(_near_lines(plain, scratch), "classes")
+    found = scratch.save(_lines(plain).select("doc_id", "h1", "h2", F.length("line").alias("chars")), "found", chars=F.sum("chars"))
+    distinct = found.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n"))
+    near = scratch.save(_near_lines(plain, found.metrics["chars"] or 0, scratch), "classes")
     # A line that occurs once and is near to no other has no class.
-    classed = distinct.join(near, distinct.h1 == near.node, "left")
+    classed = distinct.join(near, distinct.h1 == near.node, "left").where("component is not null or n > 1")
+    classed = scratch.save(classed, "classed")
     sole = F.col("component").isNull()
     home = classed.where(~sole).groupBy("component").agg(F.min("first").alias("home"))
     classed = (classed.where(~sole).join(home, "component").select("h1", "h2", F.col("component").alias("line_class"), "home")
                .unionByName(classed.where(sole & (F.col("n") > 1)).select("h1", "h2", F.col("h1").alias("line_class"), F.col("first").alias("home"))))
-    hits = _lines(plain).select("doc_id", "h1", "h2").join(classed, ["h1", "h2"])
+    hits = found.select("doc_id", "h1", "h2").join(classed, ["h1", "h2"])
     # In its home a class stays once, elsewhere not at all: null stands for that.
     entry = F.struct("h1", F.when(F.col("home") == F.col("doc_id"), F.col("line_class")).alias("line_class"))
     wanted = hits.groupBy("doc_id").agg(F.collect_set(entry).alias("lines"))
