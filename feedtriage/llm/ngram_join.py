@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from feedtriage.llm.batches import text_batches
+from feedtriage.llm.batches import FEWER_CHARS, text_batches
 from feedtriage.llm.components import connected_components
 from feedtriage.llm.shingles import mix, shingle_sets
 from feedtriage.llm.signature_tree import SignatureTree
@@ -107,7 +107,7 @@ def _frequent(texts: DataFrame, n: int) -> np.ndarray:
     sample = texts.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0)
 
     def run(batches):
-        for _, chunk in text_batches(batches, "text"):
+        for _, chunk in text_batches(batches, "text", FEWER_CHARS):
             grams, times = np.unique(np.concatenate(shingle_sets(chunk, n)), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(grams.view(np.int64)), pa.array(times)], ["gram", "n"])
 
@@ -133,7 +133,7 @@ def ngram_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
 
     def sketch(batches):
         parts, seen, none = Parts(num, den, frequent.value), set(), np.zeros(0, np.int64)
-        for batch, chunk in text_batches(batches, "text"):
+        for batch, chunk in text_batches(batches, "text", FEWER_CHARS):
             sets = shingle_sets(chunk, n)
             digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
             keys = []

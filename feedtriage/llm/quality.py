@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from feedtriage.llm.batches import text_batches
+from feedtriage.llm.batches import FEWER_CHARS, text_batches
 from feedtriage.llm.labelled import held_out, labelled_sample
 
 BUCKETS, BINS, RANK = 4096, 8, 6
@@ -133,7 +133,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, parts: int = 4, part: int =
     sample = labelled_sample(docs, labels, "quality", parts, part, training_rows)
 
     def run(batches):
-        for batch, texts in text_batches(batches, "text"):
+        for batch, texts in text_batches(batches, "text", FEWER_CHARS):
             raw = [raw_inputs(t) for t in texts]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("y"), pa.array([r[0].astype("<i4").tobytes() for r in raw]),
@@ -154,7 +154,7 @@ def quality_scores(docs: DataFrame, model: Machine, keep_text: bool = False) ->
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
-        for batch, texts in text_batches(batches, "text"):
+        for batch, texts in text_batches(batches, "text", FEWER_CHARS):
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(shared.value.scores(texts))], ["doc_id", "score"])
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double")
@@ -165,7 +165,7 @@ def keep_good(docs: DataFrame, model: Machine, least: float) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        for batch, texts in text_batches(batches, "text"):
+        for batch, texts in text_batches(batches, "text", FEWER_CHARS):
             yield batch.filter(pa.array(shared.value.scores(texts) >= least))
 
     return docs.mapInArrow(run, docs.schema)
