@@ -28,8 +28,8 @@ from feedtriage.scratch import Scratch
 
 #: Shorter lines always stay: short sentences recur in clean texts.
 MIN_CHARS = 20
-#: Characters of lines whose keys make one block: about 400,000 keys of prose.
-BLOCK_CHARS = 16_000_000
+#: Characters of lines whose keys make one block, about 50,000 keys of prose; several go to one task.
+BLOCK_CHARS = 2_000_000
 #: Keys that a task combines before it sends them.
 HELD = 500_000
 #: Lines of which a task knows that their keys are out; then it forgets them all.
@@ -200,11 +200,12 @@ def _rebuilt(docs: DataFrame, wanted: DataFrame, most: float) -> DataFrame:
     schema = "row " + docs.schema.simpleString() + ", text string, lines_removed long"
 
     def run(batches):
-        for batch in batches:
+        with_text = (pa.RecordBatch.from_arrays([batch.column("row").field("text"), *batch.columns], ["text", *batch.schema.names]) for batch in batches)
+        for batch, given in text_batches(with_text, "text", FEWER_CHARS):
             texts, counts = [], []
-            for text, lines in zip(batch.column("row").field("text").to_pylist(), batch.column("lines").to_pylist()):
+            for text, null, lines in zip(given, batch.column("text").is_null().to_pylist(), batch.column("lines").to_pylist()):
                 known = {x["h1"]: x["line_class"] for x in lines or ()}
-                kept, seen, parts = [], set(), (text or "").split("\n")
+                kept, seen, parts = [], set(), text.split("\n")
                 for line in parts:
                     h = xxhash.xxh64_intdigest(line, seed=42) if known and len(line) >= MIN_CHARS else None
                     h = h - (1 << 64) if h is not None and h >> 63 else h
@@ -213,9 +214,9 @@ def _rebuilt(docs: DataFrame, wanted: DataFrame, most: float) -> DataFrame:
                             continue
                         seen.add(known[h])
                     kept.append(line)
-                if sum(map(len, parts)) - sum(map(len, kept)) > most * len(text or ""):
+                if sum(map(len, parts)) - sum(map(len, kept)) > most * len(text):
                     kept = parts
-                texts.append(None if text is None else "\n".join(kept))
+                texts.append(None if null else "\n".join(kept))
                 counts.append(len(parts) - len(kept))
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(texts, pa.string()), pa.array(counts, pa.int64())],
                                              ["row", "text", "lines_removed"])

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from feedtriage.llm import edit_join, line_dedup
@@ -74,3 +75,22 @@ def test_lines_meet_whatever_the_blocks(spark, monkeypatch, block, held):
     docs = spark.createDataFrame([(i, b + "s" * i) for i in range(2) for b in bases] + [(7, None), (8, "")], "doc_id long, text string")
     near = {r.text: r.lines_removed for r in line_dedup.dedup_lines(docs.repartition(5)).where("doc_id < 2").collect() if r.text}
     assert near == {b: 0 for b in bases}
+
+
+def test_texts_are_rebuilt_in_bounded_slices(spark, monkeypatch):
+    docs = spark.createDataFrame([], "doc_id long, text string")
+    wanted = spark.createDataFrame([], "doc_id long, lines array<struct<h1:long,line_class:long>>")
+    taken, whole = [], type(docs).mapInArrow
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, f, *a, **b: taken.append(f) or whole(self, f, *a, **b))
+    line_dedup._rebuilt(docs, wanted, 1.0)
+    line, other = "a line that goes from all its places", "x" * 2_500
+    h = int(line_dedup._signed([line_dedup.line_hash(line)])[0])
+    texts = [f"{line}\n{other}", None, ""] * 500
+    lines = [[{"h1": h, "line_class": None}], None, None] * 500
+    rows = pa.array([{"doc_id": i, "text": t} for i, t in enumerate(texts)], pa.struct([("doc_id", pa.int64()), ("text", pa.string())]))
+    given = pa.array(lines, pa.list_(pa.struct([("h1", pa.int64()), ("line_class", pa.int64())])))
+    out = list(taken[0](iter([pa.RecordBatch.from_arrays([rows, given], ["row", "lines"])])))
+    assert max(b.nbytes for b in out) < 2_000_000 and len(out) > 2
+    assert [t for b in out for t in b.column("text").to_pylist()] == [other, None, ""] * 500
+    assert [n for b in out for n in b.column("lines_removed").to_pylist()] == [1, 0, 0] * 500
+    assert [r["doc_id"] for b in out for r in b.column("row").to_pylist()] == list(range(1_500))
