@@ -14,16 +14,22 @@ CHARS = 2_000_000
 FEWER_CHARS = 500_000
 
 
-def text_batches(batches: Iterator[pa.RecordBatch], column: str, chars: int = CHARS) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
-    """Slices of the batches with their texts; null counts as empty."""
+def text_slices(batches: Iterator[pa.RecordBatch], column: str, chars: int = CHARS) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
+    """Slices of the batches with their texts, as Arrow holds them; null counts as empty."""
     for batch in batches:
-        texts = batch.column(column)
-        ends = np.cumsum(pc.fill_null(pc.utf8_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        texts = pc.fill_null(batch.column(column), "")
+        ends = np.cumsum(pc.utf8_length(texts).to_numpy(zero_copy_only=False), dtype=np.int64)
         start = 0
         while start < len(texts):
             before = ends[start - 1] if start else 0
             # Texts without characters before the first one with some come with it.
             stop = max(int(np.searchsorted(ends, before + chars, side="right")), int(np.searchsorted(ends, before, side="right")) + 1)
             stop = min(stop, len(texts))
-            yield batch.slice(start, stop - start), [t or "" for t in texts.slice(start, stop - start).to_pylist()]
+            yield batch.slice(start, stop - start), texts.slice(start, stop - start)
             start = stop
+
+
+def text_batches(batches: Iterator[pa.RecordBatch], column: str, chars: int = CHARS) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """Slices of the batches with their texts in a list; null counts as empty."""
+    for batch, texts in text_slices(batches, column, chars):
+        yield batch, texts.to_pylist()

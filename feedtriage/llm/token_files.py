@@ -26,16 +26,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from feedtriage.llm.batches import text_batches
+from feedtriage.llm.batches import text_slices
 from feedtriage.llm.rans import Table, crc_of_parts
 from feedtriage.scratch import Scratch
 
 #: Ids of a block; blocks coded side by side; words a task remembers.
 BLOCK, TOGETHER, WORDS = 1 << 16, 32, 300_000
 
-#: Kinds of characters: white space of ASCII, letters and digits, other visible ones, and
-#: all that tokenizers may see in another way.
-_WHITE, _WORD, _SIGN, _UNSURE = 3, 2, 1, 0
+#: Kinds of characters, a bit each: white space of ASCII, other visible ones, letters and
+#: digits; and all that tokenizers may see in another way. A word ends before a character
+#: whose bit is higher than that of the one before.
+_WHITE, _SIGN, _WORD, _UNSURE = 4, 2, 1, 0
 
 
 @functools.lru_cache(maxsize=1)
@@ -45,23 +46,41 @@ def _kinds() -> np.ndarray:
     return np.array([kind(chr(c)) for c in range(1 << 16)] + [_UNSURE], np.uint8)
 
 
-def word_ends(texts: list[str]) -> tuple[str, list[int], list[int]]:
-    """(joined, cuts, firsts): all texts in one, the places where a word begins, and of each
-    text the number of its first cut; then the end and the number of cuts.
+def _byte_kinds(data: np.ndarray) -> np.ndarray:
+    """For each byte of texts in UTF-8 the kind of its character."""
+    kinds = _kinds()
+    out = kinds[data]
+    wide = np.flatnonzero(data >= 0x80)
+    if len(wide):
+        first = data[wide] >= 0xC0
+        at = wide[first]
+        lead, second, third = (data[np.minimum(at + k, len(data) - 1)].astype(np.int32) & 0x3F for k in range(3))
+        size = data[at]
+        codes = np.where(size < 0xE0, (lead & 0x1F) << 6 | second, (lead & 0x0F) << 12 | second << 6 | third)
+        codes[size >= 0xF0] = 1 << 16
+        out[wide] = np.append(kinds[codes], _UNSURE)[np.cumsum(first) - 1]
+    return out
+
+
+def word_cuts(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """(words, firsts): the words of all texts, none null, one after the other, in UTF-8; of
+    each text the number of its first word, then the number of words.
 
     No token of a byte-level tokenizer spans the end of a letter or sign before white space,
     nor that of a letter before a sign.
     """
-    joined = "".join(texts)
-    codes = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
-    kind = _kinds()[np.minimum(codes, 1 << 16)]
-    before, here = kind[:-1], kind[1:]
-    cut = np.ones(len(codes), bool)
-    cut[1:] = ((here == _WHITE) & ((before == _WORD) | (before == _SIGN))) | ((here == _SIGN) & (before == _WORD))
-    starts = np.cumsum([0] + [len(t) for t in texts])
-    cut[starts[starts < len(codes)]] = True
+    wide = pa.types.is_large_string(texts.type)
+    _, offsets, data = texts.buffers()
+    starts = np.frombuffer(offsets, np.int64 if wide else np.int32)[texts.offset:texts.offset + len(texts) + 1].astype(np.int64)
+    data = np.frombuffer(data or b"", np.uint8)[starts[0]:starts[-1]]
+    starts -= starts[0]
+    kind = _byte_kinds(data)
+    cut = np.ones(len(data) + 1, bool)
+    cut[1:-1] = kind[1:] & kind[:-1] * np.uint8(_WHITE | _SIGN)  # a lower bit, moved up by one or two
+    cut[starts] = True
     cuts = np.flatnonzero(cut)
-    return joined, [*cuts.tolist(), len(joined)], np.searchsorted(cuts, starts).tolist()
+    words = pa.Array.from_buffers(pa.large_binary(), len(cuts) - 1, [None, pa.py_buffer(cuts.astype(np.int64)), pa.py_buffer(data)])
+    return words, np.searchsorted(cuts, starts)
 
 
 def byte_alphabet() -> dict[int, int]:
@@ -92,34 +111,46 @@ class WordEncoder:
         self.by_words = (spec.get("normalizer") is None and before.get("type") == "ByteLevel" and before.get("use_regex", True)
                          and not before.get("add_prefix_space", True))
 
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, ends): ids of all texts, none null, one after the other, and where each ends.
+
+        A word is looked up once, however often the texts hold it; Arrow finds the different
+        words and puts what was found for each in their places.
+        """
+        if not self.by_words:
+            found = [np.array(e.ids, "<u4") for e in self.lib.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
+            return np.concatenate([np.empty(0, "<u4"), *found]), np.cumsum([len(x) for x in found], dtype=np.int64)
+        words, firsts = word_cuts(texts)
+        words = words.dictionary_encode()
+        each = words.dictionary.to_numpy(zero_copy_only=False).tolist()
+        found = list(map(self.known.get, each))
+        if None in found:
+            found = [self.known.get(w) or self.word(w) if f is None else f for w, f in zip(each, found)]
+        _, offsets, data = pa.array(found, pa.large_binary()).take(words.indices).buffers()
+        ends = np.frombuffer(offsets, np.int64)[firsts[1:]] // 4
+        return np.frombuffer(data or b"", "<u4")[:ends[-1]], ends
+
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit integers."""
-        if not self.by_words:
-            return [_id_bytes(e.ids) for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
-        joined, cuts, firsts = word_ends(texts)
-        words = [joined[a:b] for a, b in zip(cuts, cuts[1:])]
-        found = list(map(self.known.get, words))
-        out = []
-        for first, last in zip(firsts, firsts[1:]):
-            own = found[first:last]
-            if None in own:
-                own = [self.known.get(w) or self.word(w) if f is None else f for w, f in zip(words[first:last], own)]
-                if len(self.known) > WORDS:
-                    self.known, self.older = {}, self.known
-            out.append(b"".join(own))
-        return out
+        if not texts:
+            return []
+        ids, ends = self.encode(pa.array(texts, pa.large_string()))
+        return [part.tobytes() for part in np.split(ids, ends[:-1])]
 
-    def word(self, word: str) -> bytes:
+    def word(self, word: bytes) -> bytes:
         """Ids of a word that is not in ``known``, where it is from now on."""
         found = self.older.get(word)
         if found is None:
-            if (word[1:] if word[:1] == " " else word).isalpha():
-                mapped = word.replace(" ", chr(self.alphabet[0x20])) if word.isascii() else word.encode().decode("latin-1").translate(self.alphabet)
+            text = word.decode()
+            if (text[1:] if text[:1] == " " else text).isalpha():
+                mapped = text.replace(" ", chr(self.alphabet[0x20])) if text.isascii() else word.decode("latin-1").translate(self.alphabet)
                 found = _id_bytes([t.id for t in self.model.tokenize(mapped)])
-            elif len(word) > 1 and word[0] == "\n" and word[1:].isalpha():
-                found = b"".join([self.known.get(p) or self.word(p) for p in ("\n", word[1:])])
+            elif len(text) > 1 and text[0] == "\n" and text[1:].isalpha():
+                found = b"".join([self.known.get(p) or self.word(p) for p in (b"\n", word[1:])])
             else:
-                found = _id_bytes(self.lib.encode(word, add_special_tokens=False).ids)
+                found = _id_bytes(self.lib.encode(text, add_special_tokens=False).ids)
+        if len(self.known) > WORDS:
+            self.known, self.older = {}, self.known
         self.known[word] = found
         return found
 
@@ -150,8 +181,9 @@ class Packing:
         self.kind = np.dtype("<u2" if vocabulary <= 1 << 16 else "<u4")
         self.packer, self.opener = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
 
-    def pack(self, ids: np.ndarray) -> bytes:
-        return self.packer.compress(ids.astype(self.kind).tobytes())
+    def pack(self, ids: np.ndarray, ends: np.ndarray) -> list[bytes]:
+        """Of each document, whose ids end at these places."""
+        return [self.packer.compress(part.tobytes()) for part in np.split(ids.astype(self.kind), ends[:-1])]
 
     def unpack(self, packed: bytes) -> np.ndarray:
         return np.frombuffer(self.opener.decompress(packed), self.kind)
@@ -166,12 +198,14 @@ def _tokenised(docs: DataFrame, tokenizer: str, vocabulary: int, end_id: int, id
 
     def run(batches):
         codec, packing = word_encoder(shared.value), Packing(vocabulary)
-        end, total = np.array([end_id], "<u4").tobytes(), np.zeros(vocabulary, np.int64)
-        for batch, texts in text_batches(batches, "text"):
-            ids = [np.frombuffer(x + end, "<u4") for x in codec.encode_all(texts)]
-            total += np.bincount(np.concatenate(ids), minlength=vocabulary)
-            none = pa.nulls(len(ids), schema.field("seen").type)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([packing.pack(x) for x in ids], pa.binary()), none, none], schema=schema)
+        total = np.zeros(vocabulary, np.int64)
+        for batch, texts in text_slices(batches, "text"):
+            ids, ends = codec.encode(texts)
+            ids = np.insert(ids, ends, end_id)
+            total += np.bincount(ids, minlength=vocabulary)
+            packed = packing.pack(ids, ends + np.arange(1, len(ends) + 1))
+            none = pa.nulls(len(packed), schema.field("seen").type)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(packed, pa.binary()), none, none], schema=schema)
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_pylist([{"seen": seen, "times": total[seen]}], schema)
 

@@ -5,11 +5,12 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings, strategies as st
 from tokenizers import Tokenizer
 
-from feedtriage.llm import rans, token_files
+from feedtriage.llm import batches, rans, token_files
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 SCHEMA = "doc_id long, text string, n long, ids string, start int"
@@ -67,6 +68,38 @@ def test_words_give_what_whole_texts_give(library):
     assert [np.frombuffer(b, "<u4").tolist() for b in codec.encode_all(texts)] == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
 
 
+class Counted(dict):
+    asked = 0
+
+    def get(self, word):
+        self.asked += 1
+        return super().get(word)
+
+
+def test_a_repeated_word_is_looked_up_once(library):
+    codec = token_files.WordEncoder(token_files.read_tokenizer(PATH))
+    codec.known = Counted()
+    texts = ["one of the été words, one of them\n"] * 2000
+    assert [np.frombuffer(b, "<u4").tolist() for b in codec.encode_all(texts)] == [library.encode(texts[0]).ids] * 2000
+    assert codec.known.asked < 100
+
+
+@pytest.mark.parametrize("kind", [pa.string(), pa.large_string()])
+def test_slices_with_nulls_give_what_whole_texts_give(library, kind, monkeypatch):
+    monkeypatch.setattr(token_files, "WORDS", 50)
+    codec = token_files.WordEncoder(token_files.read_tokenizer(PATH))
+    rng = random.Random(3)
+    odd = "ab1'.\n\r \x0b\x00\x85\xa0߿ࠀ￿é日🙂𝒜 "
+    texts = [None if rng.random() < 0.2 else "".join(rng.choices(odd, k=rng.randrange(30))) for _ in range(600)] + ["", None]
+    batch = pa.RecordBatch.from_arrays([pa.array(["é before", *texts, "after"], kind).slice(1, len(texts))], ["text"])
+    for chars in (1, 200, 10 ** 6):
+        got = []
+        for _, own in batches.text_slices(iter([batch]), "text", chars):
+            ids, ends = codec.encode(own)
+            got += [part.tolist() for part in np.split(ids, ends[:-1])]
+        assert got == [library.encode(t or "").ids for t in texts]
+
+
 @settings(max_examples=30, deadline=None)
 @given(st.lists(st.integers(1, 40_000), min_size=1, max_size=5), st.integers(1, 60_000), st.integers(0, 10 ** 6))
 def test_blocks_round_trip(sizes, spread, seed):
