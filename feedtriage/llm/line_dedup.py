@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, functions as F
 from feedtriage.llm import edit_join
 from feedtriage.llm.batches import FEWER_CHARS, text_batches
 from feedtriage.llm.components import connected_components
+from feedtriage.llm.key_links import id_bits, key_links, maybe_held, runs as _runs
 from feedtriage.llm.ngram_join import joined
 from feedtriage.scratch import Scratch
 
@@ -34,9 +35,6 @@ BLOCK_CHARS = 2_000_000
 HELD = 500_000
 #: Lines of which a task knows that their keys are out; then it forgets them all.
 SEEN = 500_000
-#: Bits of the table that says which lines may be in a cluster. Its size is fixed; more
-#: lines than bits only let more lines through.
-FILTER_BITS = 1 << 24
 
 
 def line_hash(line: str) -> int:
@@ -73,91 +71,38 @@ def _among(keys: np.ndarray, ordered: np.ndarray) -> np.ndarray:
     return ordered[np.minimum(np.searchsorted(ordered, keys), len(ordered) - 1)] == keys
 
 
-def _runs(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The distinct keys, ascending, and the smallest id of each; and the links (a, b) of the
-    other ids of a key with the smallest, each once."""
-    if not len(keys):
-        return keys, ids, ids, ids
-    order = np.argsort(keys)
-    keys, ids = keys[order], ids[order]
-    firsts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-    least = np.minimum.reduceat(ids, firsts)
-    every = np.repeat(least, np.diff(np.append(firsts, len(keys))))
-    a, b = ids[ids != every], every[ids != every]
-    order = np.lexsort((b, a))
-    a, b = a[order], b[order]
-    new = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))[:len(a)]
-    return keys[firsts], least, a[new], b[new]
-
-
 def _clusters(docs: DataFrame, chars: int, scratch: Scratch) -> DataFrame:
-    """(doc_id, cluster): doc_id is the hash of a line that shares a key with another.
-
-    A task links those of its lines that share a key, and sends each key once for some HELD
-    keys, with the smallest line. So no key has many rows in one place, however frequent it is.
-    Keys go in blocks by their upper bits, of which ``chars``, the characters of all lines,
-    gives the number.
-    """
-    blocks = 1 + chars // BLOCK_CHARS
-    edges = np.array([(k << 64) // blocks for k in range(1, blocks)], np.uint64)
-
-    def packed(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-        keys, ids, a, b = _runs(*map(np.concatenate, zip(*held)))
-        at = np.concatenate([[0], np.searchsorted(keys, edges), [len(keys)]])
-        filled = np.flatnonzero(np.diff(at))
-        cuts = pa.py_buffer((8 * np.append(at[filled], len(keys))).astype(np.int32))
-        columns = [pa.Array.from_buffers(pa.binary(), len(filled), [None, cuts, pa.py_buffer(x)]) for x in (keys, ids)]
-        links = [np.concatenate([a, b]).tobytes()] + [b""] * (len(filled) - 1)  # with any one of the blocks
-        return pa.RecordBatch.from_arrays([pa.array(filled, pa.int32()), *columns, pa.array(links, pa.binary())],
-                                          ["block", "keys", "ids", "links"])
-
-    def send(batches):
-        seen, held, n = set(), [], 0
+    """(doc_id, cluster): doc_id is the hash of a line that shares a key with another. The
+    characters of all lines, ``chars``, give the number of blocks of keys."""
+    def find(batches):
+        seen = set()
         for _, texts in text_batches(batches, "text", FEWER_CHARS):
-            found = _keys_of(texts, seen)
-            if len(found[0]):
-                held.append(found)
-                n += len(found[0])
-            if n >= HELD:
-                yield packed(held)
-                held, n = [], 0
-        if held:
-            yield packed(held)
-
-    def meet(table: pa.Table) -> pa.Table:
-        keys, ids = (np.frombuffer(b"".join(table.column(c).to_pylist()), kind) for c, kind in (("keys", np.uint64), ("ids", np.int64)))
-        pairs = [np.frombuffer(x, np.int64).reshape(2, -1) for x in table.column("links").to_pylist()]
-        a, b = np.concatenate([*pairs, np.stack(_runs(keys, ids)[2:])], axis=1)
-        return pa.table({"a": a, "b": b})
-
-    sent = docs.select("text").mapInArrow(send, "block int, keys binary, ids binary, links binary")
-    links = sent.groupBy("block").applyInArrow(meet, "a long, b long")
+            yield _keys_of(texts, seen)
+
+    links = key_links(docs.select("text"), find, 1 + chars // BLOCK_CHARS, HELD)
     return connected_components(links, scratch).select(F.col("node").alias("doc_id"), F.col("component").alias("cluster"))
 
 
 def _near_lines(docs: DataFrame, chars: int, scratch: Scratch) -> DataFrame:
     """(node, component): hashes of lines, united by verified edits."""
     clusters = scratch.save(_clusters(docs, chars, scratch), "clusters")
-    words = (clusters.select(F.pmod(F.col("doc_id"), F.lit(FILTER_BITS)).cast("int").alias("slot"))
-             .selectExpr("shiftright(slot, 5) as word", "shiftleft(1, slot % 32) as bit").groupBy("word").agg(F.bit_or("bit").alias("bits")).collect())  # FILTER_BITS / 32 rows at most
-    table = np.zeros(FILTER_BITS // 32, np.uint32)
-    for r in words:
-        table[r.word] = r.bits & 0xFFFFFFFF
-    shared = docs.sparkSession.sparkContext.broadcast(table)
+    shared = docs.sparkSession.sparkContext.broadcast(id_bits(clusters, "doc_id"))
 
     def run(batches):
         table = shared.value
         for _, texts in text_batches(batches, "text", FEWER_CHARS):
             lines = list({x for t in texts for x in t.split("\n") if len(x) >= edit_join.SHORTEST})
-            ids = np.fromiter(map(line_hash, lines), np.uint64, len(lines))
-            slots = (ids % np.uint64(FILTER_BITS)).astype(np.int64)
-            kept = np.flatnonzero(table[slots >> 5] >> (slots & 31).astype(np.uint32) & np.uint32(1))
-            yield pa.RecordBatch.from_arrays([pa.array(ids[kept].view(np.int64)), pa.array([lines[i] for i in kept.tolist()], pa.string())],
+            ids = np.fromiter(map(line_hash, lines), np.uint64, len(lines)).view(np.int64)
+            kept = np.flatnonzero(maybe_held(table, ids))
+            yield pa.RecordBatch.from_arrays([pa.array(ids[kept]), pa.array([lines[i] for i in kept.tolist()], pa.string())],
                                              ["doc_id", "text"])
 
     lines = docs.select("text").mapInArrow(run, "doc_id long, text string")
     lines = lines.join(clusters.select("doc_id"), "doc_id", "left_semi").groupBy("doc_id", "text").agg(F.lit(1).alias("one"))
-    links = joined(lines.select("doc_id", "text"), clusters, lambda chunk: np.array(edit_join.join(chunk)), scratch)
+    lines = scratch.save(lines.select("doc_id", "text"), "lines")
+    links = joined(lines, clusters, lambda chunk: np.array(edit_join.join(chunk)), scratch)
+    for old in (clusters, lines):
+        scratch.drop(old)
     return connected_components(links, scratch)
 
 
@@ -189,7 +134,8 @@ def dedup_lines(docs: DataFrame, most: float = 1.0) -> DataFrame:
     hits = found.select("doc_id", "h1", "h2").join(classed, ["h1", "h2"])
     # In its home a class stays once, elsewhere not at all: null stands for that.
     entry = F.struct("h1", F.when(F.col("home") == F.col("doc_id"), F.col("line_class")).alias("line_class"))
-    wanted = hits.groupBy("doc_id").agg(F.collect_set(entry).alias("lines"))
+    wanted = scratch.save(hits.groupBy("doc_id").agg(F.collect_set(entry).alias("lines")), "wanted")
+    scratch.keep(wanted)
     return _rebuilt(docs, wanted, most)
 
 

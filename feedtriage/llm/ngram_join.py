@@ -21,14 +21,15 @@ from __future__ import annotations
 
 import bisect
 import hashlib
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, functions as F
 
 from feedtriage.llm.batches import FEWER_CHARS, text_batches
 from feedtriage.llm.components import connected_components
+from feedtriage.llm.key_links import key_links, texts_of
 from feedtriage.llm.shingles import mix, shingle_sets
 from feedtriage.llm.signature_tree import SignatureTree
 from feedtriage.scratch import Scratch
@@ -37,8 +38,8 @@ from feedtriage.scratch import Scratch
 CHUNK = 2_000
 #: Digests that a task remembers, so that copies bring their keys once.
 SEEN = 1_000_000
-#: Tasks over which the holders of one frequent key are dealt.
-SALTS = 64
+#: Keys that make one block, and keys that a task combines before it sends them.
+BLOCK_KEYS, HELD = 200_000, 500_000
 #: N-grams in more than this many texts of a sample of SAMPLE texts are frequent.
 SAMPLE, FREQUENT, FREQUENT_KEPT = 20_000, 8, 500_000
 
@@ -117,7 +118,7 @@ def _frequent(texts: DataFrame, n: int) -> np.ndarray:
 
 
 def ngram_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
-                     id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+                     id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, class_id (smallest id with the same
     set) and component_id (smallest id reachable by links, itself included).
 
@@ -127,7 +128,7 @@ def ngram_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
     Other columns are not read. An empty table gives an empty result.
     """
     spark = docs.sparkSession
-    scratch = Scratch(spark, "ngram-join")
+    scratch = scratch or Scratch(spark, "ngram-join")
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     frequent = spark.sparkContext.broadcast(_frequent(texts, n))
 
@@ -147,39 +148,38 @@ def ngram_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
                  _lists([k for k, _ in keys]), _lists([k for _, k in keys])],
                 ["doc_id", "n_shingles", "digest", "keys", "hot_keys"])
 
-    sketches = scratch.save(texts.mapInArrow(sketch, "doc_id long, n_shingles long, digest binary, keys array<long>, hot_keys array<long>"), "sketches")
+    sketches = scratch.save(texts.mapInArrow(sketch, "doc_id long, n_shingles long, digest binary, keys array<long>, hot_keys array<long>"), "sketches",
+                            n_keys=F.sum(F.size("keys") + F.size("hot_keys")))
     classes = sketches.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("class_id"))
     members = scratch.save(sketches.select("doc_id", "n_shingles", "digest").join(classes, "digest", "left")
                            .select("doc_id", "n_shingles", F.coalesce("class_id", "doc_id").alias("class_id")), "members")
     clusters = (_clusters(sketches, scratch).join(members.select("doc_id", "class_id"), "doc_id")
                 .select(F.col("class_id").alias("doc_id"), "cluster").distinct())
+    clusters = scratch.save(clusters, "clusters")
+    scratch.drop(sketches)  # the keys are the largest table
 
     def join(chunk: list[str]) -> np.ndarray:
         return SignatureTree(shingle_sets(chunk, n), num, den).join()
 
-    links = joined(texts, clusters, join, scratch)
+    links = joined(texts_of(texts, clusters), clusters, join, scratch)
+    scratch.drop(clusters)
     found = connected_components(links, scratch)
     return (members.join(found, members.class_id == found.node, "left")
             .select("doc_id", "n_shingles", "class_id", F.coalesce("component", "class_id").alias("component_id")))
 
 
 def _clusters(sketches: DataFrame, scratch: Scratch) -> DataFrame:
-    """(doc_id, cluster) of the classes that share a key with another class.
+    """(doc_id, cluster) of the classes that share a key with another class. Keys of weak ranges
+    may be held by very many classes; a task sends each once, with its smallest class."""
+    def find(batches):
+        for batch in batches:
+            for column in ("keys", "hot_keys"):
+                lists = batch.column(column)
+                ids = np.repeat(batch.column("doc_id").to_numpy(), pc.list_value_length(lists).to_numpy())
+                yield lists.flatten().to_numpy().view(np.uint64), ids
 
-    Each class is linked to the smallest one that holds the key. Keys of weak ranges may
-    be held by very many classes: there each class is linked to the smallest one of its
-    salt, and these to the smallest of all.
-    """
-    strong = sketches.select("doc_id", F.explode("keys").alias("key"))
-    least = F.min("doc_id").over(Window.partitionBy("key"))
-    links = [strong.select(F.col("doc_id").alias("a"), least.alias("b"))]
-    hot = sketches.select("doc_id", F.explode("hot_keys").alias("key"),
-                          F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).alias("salt"))
-    salted = F.min("doc_id").over(Window.partitionBy("key", "salt"))
-    links.append(hot.select(F.col("doc_id").alias("a"), salted.alias("b")))
-    firsts = hot.groupBy("key", "salt").agg(F.min("doc_id").alias("a"))
-    links.append(firsts.select("a", F.min("a").over(Window.partitionBy("key")).alias("b")))
-    links = reduce(DataFrame.unionByName, [x.where("a <> b") for x in links])
+    rows = sketches.where("doc_id is not null").select("doc_id", "keys", "hot_keys")
+    links = key_links(rows, find, 1 + (sketches.metrics["n_keys"] or 0) // BLOCK_KEYS, HELD)
     return connected_components(links, scratch).select(F.col("node").alias("doc_id"), F.col("component").alias("cluster"))
 
 
