@@ -39,6 +39,8 @@ BY_RUNS = 40
 SLICE = 100_000
 #: So many strings or fewer are compared with each other without keys.
 FEW = 16
+#: Bits of the sketch of a string's words, of which the first are looked at first.
+SKETCH, FIRST = 1024, 256
 
 _BASE, _INVERSE = np.uint64(0x9E3779B97F4A7C15), np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 #: Values of characters by their lower bits; such a key may be equal by chance, which costs a comparison.
@@ -286,13 +288,101 @@ def within(a: str | list[str], b: str | list[str], k: int) -> bool:
     return distance <= k
 
 
-def _alike(a: str, b: str, a_words: list[str], b_words: list[str]) -> bool:
-    """Whether two strings, the shorter one first, join by characters or by words."""
+def most_apart(n_words: int) -> tuple[int, int]:
+    """How many words more one of two strings that join can have, if the one with fewer has so
+    many, and how many words, with repeats, each of them can have that the other has not. An edit
+    of characters changes two words to at most two, and their number by one at most."""
+    by_words = max(word_edits(n_words), 0)
+    return max(by_words, edits(SECOND)), max(by_words, 2 * edits(SECOND))
+
+
+def sketches(lines: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+    """The number of words of each line, and a row of SKETCH bits in which its words are set; a
+    word that a line repeats counts as another one each time."""
+    bits = np.zeros((len(lines), SKETCH // 64), np.uint64)
+    known = {w: xxhash.xxh64_intdigest(w) for w in set(chain.from_iterable(lines))}
+    for row, words in zip(bits, lines):
+        own = np.sort(np.fromiter(map(known.__getitem__, words), np.uint64, len(words)))
+        times = np.arange(len(own)) - np.searchsorted(own, own)
+        places = (mix(own + times.astype(np.uint64) * _BASE) % np.uint64(SKETCH)).astype(np.int64)
+        np.bitwise_or.at(row, places >> 6, np.uint64(1) << (places & 63).astype(np.uint64))
+    return np.array([len(x) for x in lines], np.int64), bits
+
+
+def close_groups(n_words: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """The place of one line of the group of each, given their ``sketches``: two lines that join are in
+    one group. Lines that a chain of close ones connects are, too."""
+    order = np.argsort(n_words, kind="stable")
+    n_words, bits = n_words[order], bits[order]
+    bounds = {n: most_apart(n) for n in np.unique(n_words).tolist()}
+    stops = np.searchsorted(n_words, [n + bounds[n][0] for n in n_words.tolist()], side="right")
+    group = np.arange(len(order))
+    first = FIRST // 64
+    for i in range(len(order) - 1):
+        others = i + 1 + np.flatnonzero(group[i + 1:stops[i]] != group[i])
+        most = bounds[int(n_words[i])][1]
+        for part in (slice(0, first), slice(first, None)):
+            own, theirs = bits[i, part], bits[others, part]
+            more, less = (np.bitwise_count(x).sum(axis=1, dtype=np.int64) for x in (theirs & ~own, own & ~theirs))
+            others = others[(more <= most) & (less <= most)]
+        if len(others):
+            group[np.isin(group, np.append(group[others], group[i]))] = group[i]
+    out = np.empty(len(order), np.int64)
+    out[order] = order[group]
+    return out
+
+
+def _apart(a: set[str], b: set[str], k: int) -> bool:
+    """Whether one of the sets has more than k words that the other has not."""
+    both = len(a & b)
+    return len(a) - both > k or len(b) - both > k
+
+
+def _by_characters(a: str, b: str, a_set: set[str], b_set: set[str]) -> bool:
+    """Whether two strings, the shorter one first, are within their edits of characters."""
     k = edits(len(a))
-    if k >= 0 and max(len(a_words), len(b_words)) < BY_WORDS and within(a, b, k):
-        return True
-    k = word_edits(min(len(a_words), len(b_words)))
-    return k >= 0 and within(a_words, b_words, k)
+    return k >= 0 and len(b) - len(a) <= k and not _apart(a_set, b_set, 2 * k) and within(a, b, k)
+
+
+def _by_words(a: list[str], b: list[str], a_set: set[str], b_set: set[str]) -> bool:
+    """Whether two strings are within their edits of words."""
+    k = word_edits(min(len(a), len(b)))
+    return k >= 0 and abs(len(a) - len(b)) <= k and not _apart(a_set, b_set, k) and within(a, b, k)
+
+
+class _Index:
+    """Strings by their keys. Those of one key lie in lists of strings known to be of one
+    component, so that a string that joins one of a list is not compared with the others."""
+
+    def __init__(self, find, unite):
+        self.find, self.unite, self.lists = find, unite, {}
+
+    def probe(self, i: int, keys, alike) -> None:
+        """Unite i with the strings that share a key and for which ``alike`` holds."""
+        seen = set()
+        for key in keys:
+            for held in self.lists.get(key, ()):
+                if self.find(held[0]) == self.find(i):
+                    continue
+                for j in held:
+                    if j not in seen:
+                        seen.add(j)
+                        if alike(j, i):
+                            self.unite(i, j)
+                            break
+
+    def add(self, i: int, keys) -> None:
+        for key in set(keys):
+            lists = self.lists.setdefault(key, [])
+            own = [held for held in lists if self.find(held[0]) == self.find(i)]
+            if not own:
+                lists.append([i])
+                continue
+            own[0].append(i)
+            for held in own[1:]:
+                own[0] += held
+            if len(own) > 1:
+                self.lists[key] = [x for x in lists if not any(x is y for y in own[1:])]
 
 
 def join(texts: list[str]) -> list[int]:
@@ -306,38 +396,28 @@ def join(texts: list[str]) -> list[int]:
             i = root[i]
         return i
 
+    def unite(i: int, j: int) -> None:
+        root[find(i)] = find(j)
+
     words = [t.split() for t in texts]
+    sets = [set(w) for w in words]
+    by_characters = lambda j, i: _by_characters(texts[j], texts[i], sets[j], sets[i])
+    by_words = lambda j, i: _by_words(words[j], words[i], sets[j], sets[i])
     if len(texts) <= FEW:
         for n, i in enumerate(order):
             for j in order[:n]:
-                if find(i) != find(j) and _alike(texts[j], texts[i], words[j], words[i]):
-                    root[find(i)] = find(j)
+                if find(i) != find(j) and (max(len(words[i]), len(words[j])) < BY_WORDS and by_characters(j, i) or by_words(j, i)):
+                    unite(i, j)
         return [find(i) for i in range(len(texts))]
-    index: dict[int, list[int]] = {}
+    index = _Index(find, unite)
     for i in order:
-        if len(words[i]) >= BY_WORDS:
-            continue
-        seen = set()
-        for key in probe_keys(texts[i]):
-            for j in index.get(key, ()):
-                if j not in seen:
-                    seen.add(j)
-                    if find(i) != find(j) and within(texts[j], texts[i], edits(len(texts[j]))):
-                        root[find(i)] = find(j)
-        for key in index_keys(texts[i]):
-            index.setdefault(key, []).append(i)
-    index = {}
+        if len(words[i]) < BY_WORDS:
+            index.probe(i, probe_keys(texts[i]), by_characters)
+            index.add(i, index_keys(texts[i]))
+    index = _Index(find, unite)
     places, found = word_keys(words)
     chosen = [k.tolist() for k in np.split(found, np.searchsorted(places, np.arange(1, len(texts))))]
     for i in sorted(range(len(texts)), key=lambda i: (len(words[i]), texts[i])):
-        seen, keys = set(), chosen[i]
-        for key in keys:
-            for j in index.get(key, ()):
-                if j not in seen:
-                    seen.add(j)
-                    k = word_edits(len(words[j]))
-                    if len(words[i]) - len(words[j]) <= k and find(i) != find(j) and within(words[j], words[i], k):
-                        root[find(i)] = find(j)
-        for key in keys:
-            index.setdefault(key, []).append(i)
+        index.probe(i, chosen[i], by_words)
+        index.add(i, chosen[i])
     return [find(i) for i in range(len(texts))]

@@ -6,7 +6,8 @@
    those of their substrings that lines of fitting length may own, and runs of words of
    which lines share one whose edits of words are few for their length. Lines that share
    a key form clusters. Keys are shuffled in blocks, packed by tasks.
-3. Clusters are joined by that edit join, at most two chunks at a time, and verified.
+3. Large clusters are parted by sketches of their lines' words. Clusters are joined by that edit
+   join, at most two chunks at a time, and verified.
 4. The distinct lines of a component are one class. Its lines stay in the smallest
    document that holds one, the first time there, and go from all other places.
 
@@ -35,6 +36,8 @@ BLOCK_CHARS = 2_000_000
 HELD = 500_000
 #: Lines of which a task knows that their keys are out; then it forgets them all.
 SEEN = 500_000
+#: Clusters of more lines are parted before lines are compared, with so many of the lines to a block.
+LARGE, BLOCK_LINES = 200, 5_000
 
 
 def line_hash(line: str) -> int:
@@ -100,12 +103,58 @@ def _near_lines(docs: DataFrame, chars: int, scratch: Scratch) -> DataFrame:
     lines = docs.select("text").mapInArrow(run, "doc_id long, text string")
     lines = lines.join(clusters.select("doc_id"), "doc_id", "left_semi").groupBy("doc_id", "text").agg(F.lit(1).alias("one"))
     lines = scratch.save(lines.select("doc_id", "text"), "lines")
-    links = joined(lines, clusters, lambda chunk: np.array(edit_join.join(chunk)), scratch)
-    for old in (clusters, lines):
+    parts = _parted(lines, clusters, scratch)
+    links = joined(lines, parts, lambda chunk: np.array(edit_join.join(chunk)), scratch)
+    for old in (clusters, lines, parts):
         scratch.drop(old)
     return connected_components(links, scratch)
 
 
+def _parted(lines: DataFrame, clusters: DataFrame, scratch: Scratch) -> DataFrame:
+    """``clusters`` (doc_id, cluster) with the large ones parted: there only lines that share a
+    key and whose words are few enough apart, by their sketches, are linked. Lines of different parts
+    can't join, and lines without such a link are in no part. So the work on a cluster that
+    many lines of different texts make up by chance does not grow with its square."""
+    sizes = clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > LARGE).select("cluster")
+    large = scratch.save(clusters.join(sizes, "cluster", "left_semi"), "large")
+    if not large.n_rows:
+        return clusters
+    blocks = 1 + large.n_rows // BLOCK_LINES
+
+    def sketched(batches):
+        for batch, texts in text_batches(batches, "text", FEWER_CHARS):
+            places, keys = edit_join.keys_of(texts)
+            order = np.lexsort((keys, places))
+            places, keys = places[order], keys[order]
+            new = np.append(True, (places[1:] != places[:-1]) | (keys[1:] != keys[:-1]))[:len(keys)]
+            places, keys = places[new], keys[new]
+            n_words, bits = edit_join.sketches([t.split() for t in texts])
+            ids = batch.column("doc_id").to_numpy()
+            yield pa.RecordBatch.from_arrays(
+                [pa.array((keys % np.uint64(blocks)).astype(np.int32)), pa.array(keys.view(np.int64)), pa.array(ids[places]),
+                 pa.array(n_words[places]), pa.array([bits[i].tobytes() for i in places.tolist()], pa.binary())],
+                ["block", "key", "id", "n_words", "bits"])
+
+    def meet(table: pa.Table) -> pa.Table:
+        table = table.sort_by("key")
+        keys, ids, n_words = (table.column(c).to_numpy() for c in ("key", "id", "n_words"))
+        starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+        ends, found = np.append(starts[1:], len(keys)), []
+        for start, end in zip(starts.tolist(), ends.tolist()):
+            if end - start > 1:
+                bits = np.frombuffer(b"".join(table.column("bits").slice(start, end - start).to_pylist()), np.uint64)
+                roots = edit_join.close_groups(n_words[start:end], bits.reshape(end - start, -1))
+                found.append(np.stack([ids[start:end], ids[start:end][roots]]))
+        a, b = np.concatenate(found or [np.zeros((2, 0), np.int64)], axis=1)
+        return pa.table({"a": a[a != b], "b": b[a != b]})
+
+    rows = lines.join(large.select("doc_id"), "doc_id", "left_semi")
+    sent = rows.mapInArrow(sketched, "block int, key long, id long, n_words long, bits binary")
+    parts = connected_components(sent.groupBy("block").applyInArrow(meet, "a long, b long"), scratch)
+    parts = parts.select(F.col("node").alias("doc_id"), F.col("component").alias("cluster"))
+    return scratch.save(clusters.join(sizes, "cluster", "left_anti").select("doc_id", "cluster").unionByName(parts), "parts")
+
+
 def dedup_lines(docs: DataFrame, most: float = 1.0) -> DataFrame:
     """``docs`` with repeated lines taken out of text, in all its columns, and with
     lines_removed (long) beside them.
